@@ -31,16 +31,37 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepieces import encoded_documents
+
+    return encoded_documents(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
+    "op3_personal_data": op3_personal_data,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op8_secrets": op8_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
