@@ -49,6 +49,12 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_personal_data": op3_personal_data,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
 }
@@ -110,7 +117,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+_OP6 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL
+), e AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id
+  WHERE list_cosine_similarity(p.x, q.x) >= 0.98
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), m AS (SELECT a, min(b) AS c FROM r GROUP BY 1
+), k AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT m.a AS vec_id, coalesce(k.n, 0) AS n_links, m.c AS component_id, m.a = m.c AS kept FROM m LEFT JOIN k USING (a)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash_dedup": _OP5,
+    "op6_embedding_dedup": _OP6,
     "op7_decontamination": _OP7,
 }
