@@ -18,14 +18,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_size
 from .tokens import SPACE, pretokens
 
-CACHE_ENTRIES = 400_000
-PAIR_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
+PAIR_ENTRIES = 300_000
 CHUNK_CHARS = 1 << 20
 #: A character without a piece costs so much more than the worst piece (fixed by the library).
 UNKNOWN_PENALTY = 10.0
@@ -231,37 +233,22 @@ def model_is_bpe(path: str) -> bool:
 
 
 class Encoder:
-    """Encodes texts; holds at most CACHE_ENTRIES parts."""
+    """Encodes texts; keeps the parts used of late, at most 2 * CACHE_ENTRIES and one call's own."""
 
     def __init__(self, path: str, bpe: bool | None = None):
         self.pieces = Pieces(path, bpe)
-        self.at: dict[str, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at.clear()
-        self.flat, self.ends = array("i"), array("q", [0])
-
-    def _learn(self, parts: set[str]) -> None:
-        encode, flat, ends, at = self.pieces.encode, self.flat, self.ends, self.at
-        for part in parts:
-            at[part] = len(at)
-            flat.extend(encode(SPACE + (part.replace(" ", SPACE) if " " in part else part)))
-            ends.append(len(flat))
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [pretokens(x) for x in texts]
-        rest = set().union(*cut).difference(self.at)
-        if len(self.at) + len(rest) > CACHE_ENTRIES:
-            self._clear()
-            rest = set().union(*cut)
-        self._learn(rest)
-        flat, ends = np.array(self.flat, dtype=np.int32), np.array(self.ends)
-        where = np.fromiter((i for x in cut for i in map(self.at.__getitem__, x)), dtype=np.int64)
-        lens = ends[where + 1] - ends[where]
-        upto = np.concatenate(([0], np.cumsum(lens)))
-        take = np.arange(upto[-1]) + np.repeat(ends[where] - upto[:-1], lens)
-        return np.split(flat[take], upto[np.cumsum([len(x) for x in cut])[:-1]]) if texts else []
+        if len(self.recent) > CACHE_ENTRIES:
+            self.recent, self.older = {}, self.recent
+        recent, older, encode = self.recent, self.older.get, self.pieces.encode
+        for part in set().union(*cut).difference(recent):
+            recent[part] = older(part) or array("i", encode(SPACE + (part.replace(" ", SPACE) if " " in part else part))).tobytes()
+        get = recent.__getitem__
+        return [np.frombuffer(b"".join(map(get, x)), dtype=np.int32) for x in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``; one space at its start is the one the encoder added."""
@@ -281,17 +268,25 @@ def encode(docs: DataFrame, model: str, *, bpe: bool | None = None, text: str =
     Null and empty texts have no ids and round_trip true. ``model`` is a file that every executor can open.
     """
 
-    @F.pandas_udf("ids array<int>, n_ids long, round_trip boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model, bpe)
         for batch in batches:
-            rows = []
-            for part in by_size(batch, CHUNK_CHARS):
-                for one, ids in zip(part, enc.encode(part), strict=True):
-                    rows.append((ids, len(ids), enc.decode(ids) == one.replace(SPACE, " ")))
-            yield pd.DataFrame(rows, columns=["ids", "n_ids", "round_trip"])
-
-    return docs.withColumn("__pieces", run(F.col(text)))
+            column = batch.column(batch.schema.get_field_index(text))
+            at = 0
+            # rows leave in parts of bounded size, so memory doesn't follow the size of a batch's result
+            for part in by_size((x.as_py() for x in column), CHUNK_CHARS):
+                each = enc.encode(part)
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
+                whole = [enc.decode(ids) == one.replace(SPACE, " ") for one, ids in zip(part, each, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each), pa.int32()))
+                found = pa.StructArray.from_arrays([lists, pa.array(np.diff(ends), pa.int64()), pa.array(whole, pa.bool_())], ["ids", "n_ids", "round_trip"])
+                same = batch.slice(at, len(part))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([*same.columns, found], [*same.schema.names, "__pieces"])
+
+    pieces = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("n_ids", T.LongType()).add("round_trip", T.BooleanType())
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__pieces", pieces)]))
 
 
 def decode(encoded: DataFrame, model: str, *, bpe: bool | None = None, ids: str = "ids", into: str = "text") -> DataFrame:
