@@ -21,9 +21,56 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.where(F.col("__lang.evidence")).select(*docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of copies and near copies: the one with the smallest doc_id."""
+    from rangeloom.llm.minhash import near_duplicates as classes
 
-#: Suffix automata, hash signatures and piece encoding have no SQL form; tests compare with brute force.
+    gone = classes(docs, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    # rows that repeat a document meet on its doc_id anyway
+    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").withColumn("__h", F.xxhash64("text"))
+    named = named.dropDuplicates(["doc_id", "__h"]).drop("__h")
+    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words (or the whole) of a benchmark item."""
+    from rangeloom.llm.decontam import matches
+
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = matches(docs.select("doc_id", "text"), items).where("exact").select(F.col("doc_id").alias("__k"), F.col("h").alias("__h")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__k")) & (F.xxhash64("text") == F.col("__h"))
+    return docs.join(hit, same, "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind in place of each span of personal data; n_chars follows the new text."""
+    from rangeloom.llm.pii import redact
+
+    clean = redact(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds piece_ids, n_pieces and round_trip (decoding gives the text again), in place of columns of these names."""
+    from rangeloom.llm.queries import tokenizer
+    from rangeloom.llm.sentencepieces import encode
+
+    own = [c for c in docs.columns if c not in ("piece_ids", "n_pieces", "round_trip")]
+    done = encode(docs.select(*own), tokenizer())
+    return done.select(*own, F.col("__pieces.ids").alias("piece_ids"), F.col("__pieces.n_ids").alias("n_pieces"), "__pieces.round_trip")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("sentencepiece", encoding),
+]
+
+#: Suffix automata, merges of pieces and parsers of spans have no SQL form; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import duckdb_sql
+
 PIECES = "piece_bpe_32k.model"
 
 
@@ -67,6 +69,18 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import licences
+
+    return licences(table(spark, sf_dir, "documents"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -76,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
+    "op9_licenses": op9_licenses,
+    "op10_html_text": op10_html_text,
 }
 
 #: Lower case of ASCII letters only, as the contracts have it.
@@ -134,4 +150,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_minhash_dedup": _OP5,
     "op6_embedding_dedup": _OP6,
     "op7_decontamination": _OP7,
+    "op9_licenses": duckdb_sql(),
 }
