@@ -3,7 +3,7 @@
 For each language a suffix automaton is built over labelled text. A text is parsed greedily into the longest
 phrases that occur in that text; the language that needs the fewest phrases, normalised by the description
 length of a phrase (log2 of its training length), wins. The automaton with its restarts at phrase ends is one
-table ``[state, letter] -> next state and whether a phrase ended``, so that many stretches of text are parsed in
+table ``[state, letter] -> next state and whether a phrase begins``, so that many stretches of text are parsed in
 step by array look-ups. Parsing restarts every STRETCH letters, alike for all languages.
 """
 
@@ -55,7 +55,7 @@ def learn_sample(docs: DataFrame, *, train_chars: int = 32_768, rows: int = 96,
 
 
 def automaton(codes: list[int], letters: int) -> np.ndarray:
-    """The parse table over one training text, flattened: value = 2 * (next state * letters) + (a phrase ended here)."""
+    """The parse table over one training text, flattened: value = 2 * (next state * letters) + (a phrase begins here)."""
     following: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -85,11 +85,12 @@ def automaton(codes: list[int], letters: int) -> np.ndarray:
     start = np.zeros(letters, dtype=np.int64)
     for c, s in following[0].items():
         start[c] = s
-    # without a transition the phrase ends and the letter starts the next one; a letter unseen even alone is a phrase
+    # without a transition the letter begins the next phrase; one unseen even alone is a phrase by itself
     table = np.tile(2 * start * letters + 1, (len(following), 1))
     for s, nexts in enumerate(following):
         if nexts:
             table[s, list(nexts)] = 2 * letters * np.fromiter(nexts.values(), dtype=np.int64)
+    table[0] |= 1  # the start, and behind a letter that is unseen even alone: a phrase begins in any case
     table[:, PAD] = 0
     return table.astype(np.int32).ravel()
 
@@ -137,13 +138,13 @@ class Parser:
         of = np.repeat(np.arange(len(texts)), lanes)
         for j, table in enumerate(self.tables):
             state = np.zeros(steps.shape[1], dtype=np.int32)
-            ended = np.zeros(steps.shape[1], dtype=np.int32)
+            begun = np.zeros(steps.shape[1], dtype=np.int32)
             for row in steps:
                 state += row
                 got = table.take(state)
-                ended += got & 1
+                begun += got & 1
                 np.right_shift(got, 1, out=state)
-            phrases[:, j] = np.bincount(of, weights=ended, minlength=len(texts)) + lanes
+            phrases[:, j] = np.bincount(of, weights=begun, minlength=len(texts))
         return letters, phrases
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:

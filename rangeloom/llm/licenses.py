@@ -37,7 +37,6 @@ SENTENCES: dict[int, str] = {
     42: "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     43: "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     44: "See the GNU General Public License for more details.",
-    45: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     46: "SPDX-License-Identifier: GPL-3.0-only",
     47: "SPDX-License-Identifier: GPL-3.0-or-later",
     48: "SPDX-License-Identifier: GPL-2.0-only",
@@ -47,7 +46,7 @@ SENTENCES: dict[int, str] = {
     52: "See the GNU Affero General Public License for more details.",
     53: "SPDX-License-Identifier: AGPL-3.0-only",
     54: "either version 2 of the License, or (at your option) any later version.",
-    55: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    55: "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
     56: "This work is licensed under the GNU Lesser General Public License, version 3.",
     57: "SPDX-License-Identifier: LGPL-3.0-only",
     70: "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -69,14 +68,13 @@ SENTENCES: dict[int, str] = {
     97: "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     98: "Released under CC0 1.0 into the public domain.",
     99: "SPDX-License-Identifier: CC0-1.0",
-    110: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    110: "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     111: "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     112: "SPDX-License-Identifier: MPL-2.0",
     113: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     114: "SPDX-License-Identifier: ISC",
     115: "This is free and unencumbered software released into the public domain.",
     116: "SPDX-License-Identifier: Unlicense",
-    117: "All rights reserved; no licence is granted.",
 }
 
 #: Licence (SPDX identifier) and its sequence of sentences, in order of strength.
@@ -85,7 +83,7 @@ RULES: list[tuple[str, tuple[int, ...]]] = [
     ("Apache-2.0", (21, 22, 23, 24, 25)), ("Apache-2.0", (21, 22)),
     ("AGPL-3.0", (51, 42, 43, 52)), ("AGPL-3.0", (51,)),
     ("GPL-3.0", (41, 42, 43, 44)), ("GPL-3.0", (41,)),
-    ("GPL-2.0", (55, 54, 42, 43, 44)), ("GPL-2.0", (55, 54)), ("GPL-2.0", (45,)),
+    ("GPL-2.0", (55, 54, 42, 43, 44)), ("GPL-2.0", (55, 54)),
     ("BSD-3-Clause", (70, 71, 72, 73, 74)), ("BSD-3-Clause", (70, 71, 72, 73)),
     ("BSD-2-Clause", (70, 71, 72, 74)), ("BSD-2-Clause", (70, 71, 72)),
     ("MPL-2.0", (110, 111)), ("MPL-2.0", (110,)), ("ISC", (113,)),
@@ -96,15 +94,17 @@ RULES: list[tuple[str, tuple[int, ...]]] = [
     ("BSD-3-Clause", (75,)), ("BSD-2-Clause", (76,)), ("BSD-3-Clause", (77,)), ("BSD-2-Clause", (78,)),
     ("CC-BY-NC-4.0", (90,)), ("CC-BY-4.0", (91,)), ("CC-BY-SA-4.0", (92,)), ("CC-BY-NC-SA-4.0", (93,)), ("CC-BY-ND-4.0", (94,)),
     ("CC-BY-4.0", (95,)), ("CC-BY-NC-4.0", (96,)), ("CC-BY-SA-4.0", (97,)), ("CC0-1.0", (98,)), ("CC0-1.0", (99,)),
-    ("MPL-2.0", (112,)), ("ISC", (114,)), ("Unlicense", (115,)), ("Unlicense", (116,)), ("no-license", (117,)),
+    ("MPL-2.0", (112,)), ("ISC", (114,)), ("Unlicense", (115,)), ("Unlicense", (116,)),
 ]
 
 #: Every known sentence holds one of these; texts without any need no cutting.
 CUES = ("licen", "permission", "redistribut", "copyright", "warrant", "public domain", "mozilla")
 #: Other known sentences that may stand between two of a rule.
 GAP = 3
-#: A sentence ends behind these signs if white space follows, and at the borders of its view.
-STOP = r"([.;:!?])[ \t\r\f\x0B]+"
+#: A sentence ends behind these signs if white space follows, behind a colon at the end of a line, and at the borders
+#: of its view.
+STOP = r"([.;!?])[ \t\r\f\x0B]+"
+COLON = r":[ \t\r]*\n"
 JOIN = r"[ \t\r]*\n[ \t\r/*#>;%-]*"
 BLANK = r"\n[ \t\r/*#>;%-]*\n"
 JUNK = r"[^a-z0-9+]+"
@@ -122,6 +122,7 @@ def pattern(rule: tuple[int, ...]) -> str:
 def _views(text: Column) -> Column:
     """The two views' sentences, not yet normalised: struct of lines and flow."""
     cut = lambda c: F.split(F.regexp_replace(c, STOP, "$1\n"), "\n")
+    text = F.regexp_replace(text, COLON, ".\n")
     flow = F.regexp_replace(F.regexp_replace(text, BLANK, ". "), JOIN, " ")
     return F.array(cut(text), cut(flow))
 
@@ -185,7 +186,7 @@ def duckdb_sql() -> str:
         step = f"SELECT doc_id, view, ids, regexp_replace(rest, {p}, '', 'g') AS rest, CASE WHEN regexp_matches(rest, {p}) THEN list_append(got, '{l}') ELSE got END AS got FROM ({step})"
     return f"""
 WITH known(sentence, sid) AS (VALUES {known}
-), d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL
+), d AS (SELECT doc_id, regexp_replace(lower(text), {quoted(COLON)}, '.' || chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL
 ), c AS (
   SELECT doc_id, 0 AS view, {cut("t")} AS cut FROM d UNION ALL SELECT doc_id, 1, {cut(flow)} FROM d
 ), s AS (SELECT doc_id, view, unnest(range(1, len(cut) + 1)) AS pos, unnest(cut) AS raw FROM c

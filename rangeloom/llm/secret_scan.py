@@ -74,8 +74,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         while right < size and text[right] == " ":
             right += 1
         target = WORDS.search(text, max(0, left - 8), left)
-        value = VALUE.match(text, right + (right < size and text[right] in "\"'"))
-        if target and value and target.start() >= behind:
+        if target and target.start() >= behind and (value := VALUE.match(text, right + (right < size and text[right] in "\"'"))):
             behind = value.end()
             if value.end() - value.start() >= 6:
                 out.setdefault("assign", []).append((target.start(), value.end()))

@@ -202,5 +202,5 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, key: str = "vec_id
     found = found.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     found = found.where((F.col("n_links") > 0) | (F.col("component").isNotNull()))
     return own.join(found, ["label", "v"], "left").select(
-        F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
+        F.col("id").alias(key), F.coalesce(F.when(F.col("id").isNotNull(), F.col("n_links")), F.lit(0)).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
     ).withColumn("kept", F.col(key).isNull() | (F.col(key) == F.col("component_id")))
