@@ -20,14 +20,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 from .components import connected_components
 
-#: The index is fitted on about so many distinct vectors, and has a list for each LIST_SIZE vectors up to MAX_LISTS.
+#: The index is fitted on about so many distinct vectors, and has a list for each LIST_SIZE vectors of the largest
+#: label, up to MAX_LISTS. More lists don't lose links, but where vectors hardly cluster a query probes most of them.
 FIT_ROWS, LIST_SIZE, MAX_LISTS = 20_000, 4096, 1024
 SUBSPACES, CODES, ROUNDS = 8, 256, 6
-BLOCK = 1024
+#: Vectors in a block of a list or of its queries, and queries compared at a time.
+BLOCK, AT_ONCE = 2048, 256
 RERANK = 100_000
 SLACK = 1e-4
 
@@ -102,32 +105,48 @@ def _linked(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _search(indexes: dict[int, Index], cosine: float, reach: float):
+def units(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision; lengths whose squares overflow or vanish are scaled first."""
+    x = np.stack([np.frombuffer(r, kind) for r in raw]).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _search(indexes: dict[int, Index], kind: str, cosine: float, reach: float):
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         index, centre = indexes[int(key[1])], int(key[2])
-        ids = pdf["id"].to_numpy()
-        x = np.stack(pdf["unit"].to_numpy()).astype(np.float64)
-        asks = np.flatnonzero(pdf["ask"].to_numpy())
-        held = np.flatnonzero(~pdf["ask"].to_numpy())
+        ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
+        ask = pdf["ask"].to_numpy()
+        asks, held = np.flatnonzero(ask), np.flatnonzero(~ask)
         links = np.zeros(len(ids), dtype=np.int64)
+        label = ids
         if len(asks) and len(held):
+            x = units(pdf["raw"].tolist(), kind)
             codes = np.stack([np.frombuffer(c, np.uint8) for c in pdf["codes"].iloc[held]])
-            i, j = index.near(x[asks], centre, codes, pdf["error"].to_numpy()[held], reach)
-            i, j = asks[i], held[j]
-            other = ids[i] != ids[j]
-            i, j = i[other], j[other]
-            good = np.zeros(len(i), dtype=bool)
-            for lo in range(0, len(i), RERANK):
-                part = slice(lo, lo + RERANK)
-                good[part] = np.einsum("ij,ij->i", x[i[part]], x[j[part]]) >= cosine
-            i, j = i[good], j[good]
-            links += np.bincount(i, weights=pdf["copies"].to_numpy()[j], minlength=len(ids)).astype(np.int64)
+            errors = pdf["error"].to_numpy()[held]
             # an id can stand on both sides: its two positions are linked
             order = np.argsort(ids, kind="stable")
             twins = np.flatnonzero(ids[order][1:] == ids[order][:-1])
-            label = _linked(ids, np.concatenate((i, order[twins])), np.concatenate((j, order[twins + 1])))
-        else:
-            label = ids
+            left, right = [order[twins]], [order[twins + 1]]
+            for at in range(0, len(asks), AT_ONCE):
+                part = asks[at : at + AT_ONCE]
+                i, j = index.near(x[part], centre, codes, errors, reach)
+                i, j = part[i], held[j]
+                other = ids[i] != ids[j]
+                i, j = i[other], j[other]
+                good = np.zeros(len(i), dtype=bool)
+                for lo in range(0, len(i), RERANK):
+                    some = slice(lo, lo + RERANK)
+                    good[some] = np.einsum("ij,ij->i", x[i[some]], x[j[some]]) >= cosine
+                i, j = i[good], j[good]
+                links += np.bincount(i, weights=copies[j], minlength=len(ids)).astype(np.int64)
+                # keep what these links join, not the links: each position and the one whose id it reaches
+                used = np.unique(np.concatenate((i, j)))
+                reached = _linked(ids, i, j)[used]
+                first = dict(zip(ids[used].tolist(), used.tolist(), strict=True))
+                left.append(used)
+                right.append(np.array([first[r] for r in reached.tolist()], dtype=np.int64))
+            label = _linked(ids, np.concatenate(left), np.concatenate(right))
         keep = (links > 0) | (label != ids)
         return pd.DataFrame({"id": ids[keep], "links": links[keep], "reached": label[keep]})
 
@@ -143,42 +162,45 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, key: str = "vec_id
     repeat a key count each as a vector. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    own = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    own = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
+    single = isinstance(vectors.schema[vector].dataType.elementType, T.FloatType)
+    kind = "<f4" if single else "<f8"
+    own = own if single else own.withColumn("v", F.col("v").cast("array<double>"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     classes = own.where(sound).groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     classes = materialise(classes.select("id", "label", "copies", "v", F.size("v").alias("dim")), "vectors")
 
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    by_label = classes.groupBy("dim", "label").agg(F.count("*").alias("n"))
+    sizes = {r["dim"]: (r["n"], r["most"]) for r in by_label.groupBy("dim").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
     if not sizes:
         blank = own.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
         return blank.withColumn("kept", F.lit(True))
     indexes = {}
-    for dim, n in sorted(sizes.items()):
+    for dim, (n, most) in sorted(sizes.items()):
         share = int(min(1.0, FIT_ROWS / n) * (1 << 40))
         picked = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < share)).select("id", "v").orderBy("id").collect()
         if not picked:
             picked = classes.where(F.col("dim") == dim).select("id", "v").orderBy("id").limit(1).collect()
-        sample = np.array([r["v"] for r in picked])
+        sample = np.array([r["v"] for r in picked], dtype=np.float64)
         sample /= np.abs(sample).max(1, keepdims=True)
-        indexes[dim] = Index(sample / np.linalg.norm(sample, axis=1, keepdims=True), min(MAX_LISTS, -(-n // LIST_SIZE)))
+        indexes[dim] = Index(sample / np.linalg.norm(sample, axis=1, keepdims=True), min(MAX_LISTS, -(-most // LIST_SIZE)))
     shared = spark.sparkContext.broadcast(indexes)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for dim, part in pdf.groupby("dim"):
                 index = shared.value[int(dim)]
-                x = np.stack(part["v"].to_numpy())
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                raw = [np.asarray(v, dtype=kind).tobytes() for v in part["v"]]
+                x = units(raw, kind)
                 lists, codes, errors = index.place(x)
                 yield pd.DataFrame({
-                    "id": part["id"], "label": part["label"], "copies": part["copies"], "dim": int(dim), "unit": list(x), "list": lists.astype("int32"),
+                    "id": part["id"], "label": part["label"], "copies": part["copies"], "dim": int(dim), "raw": raw, "list": lists.astype("int32"),
                     "codes": [c.tobytes() for c in codes], "error": errors, "probes": [p.astype("int32") for p in index.probes(x, lists, reach)],
                 })
 
-    placed = classes.mapInPandas(place, "id long, label string, copies long, dim int, unit array<double>, list int, codes binary, error double, probes array<int>")
+    placed = classes.mapInPandas(place, "id long, label string, copies long, dim int, raw binary, list int, codes binary, error double, probes array<int>")
     placed = materialise(placed, "index")
     cell = ["label", "dim", "list"]
     entries = placed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("eb"))
@@ -186,12 +208,12 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, key: str = "vec_id
     cells = materialise(entries.join(asked, cell), "cells")
     block = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stored = placed.join(cells, cell).select(*cell, block("eb").alias("e"), each("qb").alias("q"), F.lit(False).alias("ask"), "id", "copies", "codes", "error", "unit")
-    asking = placed.select("label", "dim", F.explode("probes").alias("list"), "id", "unit").join(cells, cell)
-    asking = asking.select(*cell, each("eb").alias("e"), block("qb").alias("q"), F.lit(True).alias("ask"), "id", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "unit")
+    stored = placed.join(cells, cell).select(*cell, block("eb").alias("e"), each("qb").alias("q"), F.lit(False).alias("ask"), "id", "copies", "codes", "error", "raw")
+    asking = placed.select("label", "dim", F.explode("probes").alias("list"), "id", "raw").join(cells, cell)
+    asking = asking.select(*cell, each("eb").alias("e"), block("qb").alias("q"), F.lit(True).alias("ask"), "id", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "raw")
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _search(shared.value, cosine, reach)(key, pdf)
+        return _search(shared.value, kind, cosine, reach)(key, pdf)
 
     met = stored.unionByName(asking).groupBy(*cell, "e", "q").applyInPandas(search, "id long, links long, reached long")
     met = materialise(met, "links")
