@@ -55,6 +55,7 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -170,7 +171,8 @@ def left_out(tree: Tree) -> list[bool]:
             out[i] = True
         elif tree.marks[i]:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(tree.marks[i])}
-            words = set(WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+            named = f"{found.get('class', '')} {found.get('id', '')}"
+            words = set(WORD.findall(f"{named} {CAMEL.sub(' ', named)}".lower()))
             role = found.get("role", "").strip().lower()
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")) is not None
             if tag in ("html", "body", "main"):
@@ -227,6 +229,9 @@ def content_root(tree: Tree, out: list[bool]) -> int:
     threshold = min(dense[i] for i in path)
     # the greatest sum among elements that reach the threshold
     best = max((i for i in candidates if dense[i] >= threshold), key=lambda i: (sums[i], dense[i], -i))
+    articles = [i for i in candidates if tree.tag[i] == "article"]
+    if len(articles) == 1 and dense[articles[0]] >= threshold:  # text outside the page's only article can't outdo it
+        return articles[0]
     up = best
     while up > 0 and tree.tag[up] not in ("article", "main"):
         up = tree.parent[up]
