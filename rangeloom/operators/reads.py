@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 
 from ..bounds import KeyRange
 
-#: Most probes that a key lookup counts as few enough to send to every task.
+#: Up to so many probes, counted first, go to every task, so that only matching rows of the table are shuffled.
 BROADCAST_PROBES = 100_000
 
 
+def narrowed(rows: DataFrame, probes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``rows``, less rows that no probe can meet where the probes are few."""
+    wanted = probes.select(*key)
+    if wanted.limit(BROADCAST_PROBES + 1).count() > BROADCAST_PROBES:
+        return rows
+    return rows.join(F.broadcast(wanted), list(key), "left_semi")
+
+
 class ReadView:
     """Reads of rows with unique, non-null keys.
 
@@ -65,16 +73,16 @@ class ReadView:
 
     def multi_get(self, probes: DataFrame) -> DataFrame:
         """Each probe with the row of its key and ``found``; absent keys have nulls."""
-        here = self._source(KeyRange()).withColumn("found", F.lit(True))
+        here = narrowed(self.rows, probes, self.key).withColumn("found", F.lit(True))
         return probes.join(here, self.key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
     def present(self, probes: DataFrame) -> DataFrame:
         """The probes whose key is in the table."""
-        return probes.join(self.keys_unordered(), self.key, "left_semi")
+        return probes.join(narrowed(self.keys_unordered(), probes, self.key), self.key, "left_semi")
 
     def absent(self, probes: DataFrame) -> DataFrame:
         """The probes whose key isn't in the table."""
-        return probes.join(self.keys_unordered(), self.key, "left_anti")
+        return probes.join(narrowed(self.keys_unordered(), probes, self.key), self.key, "left_anti")
 
     def keys_unordered(self) -> DataFrame:
         return self._source(KeyRange()).select(*self.key)

@@ -22,24 +22,26 @@ from pyspark.sql import types as T
 from .bounds import Key, KeyRange
 from .errors import ClosedError, ConflictError, DuplicateKeyError, FinishedError, KeyedTableError, KeyTooLongError, MaintenanceError, NullKeyError, SchemaError
 from .operators import writes
-from .operators.reads import ReadView
+from .operators.reads import ReadView, narrowed
 from .sources.files import Files
 from .sources.manifest import DataFile, Manifest, Version
 
 log = logging.getLogger("rangeloom")
-#: Fewer delta rows than this are broadcast when laid over the base; the manifest knows their number.
-BROADCAST_ROWS = 500_000
+#: Keys of deltas with up to so many rows and bytes, as the manifest has them, are broadcast when laid over the base.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 Values = Mapping[str, Column]
 
 
 @dataclass(frozen=True)
 class Options:
     """``retries``: of single writes that meet another commit. ``fold_after``: deltas after which a commit folds them (0:
-    never). ``file_rows``: rows of a base file at most. ``max_key_bytes``: of string and binary keys (0: no limit)."""
+    never). ``file_rows``: rows of a file at most. ``ranges``: key ranges that a load, fold or compaction deals rows into
+    (0: the session's shuffle partitions). ``max_key_bytes``: of string and binary keys (0: no limit)."""
 
     retries: int = 10
     fold_after: int = 16
     file_rows: int = 5_000_000
+    ranges: int = 0
     max_key_bytes: int = 0
     default_is_unbounded: bool = False
     on_warning: Callable[[str], None] | None = None
@@ -47,8 +49,8 @@ class Options:
     on_compaction_completed: Callable[[CompactionResult], None] | None = None
 
     def validate(self) -> None:
-        if self.retries < 0 or self.fold_after < 0 or self.max_key_bytes < 0:
-            raise ValueError("retries, fold_after and max_key_bytes can't be negative")
+        if min(self.retries, self.fold_after, self.max_key_bytes, self.ranges) < 0:
+            raise ValueError("retries, fold_after, max_key_bytes and ranges can't be negative")
         if self.file_rows < 1:
             raise ValueError("file_rows must be 1 or more")
 
@@ -136,11 +138,12 @@ class Store:
         """The version's rows; of files whose keys all lie outside ``wanted``, none are read."""
         near = lambda df: df if wanted == KeyRange() else df.where(wanted.condition(self.key))
         base = near(self._read([f for f in version.base if f.meets(wanted)]))
-        parts, n = [], 0
+        parts, n, size = [], 0, 0
         for order, delta in enumerate(version.deltas):
             for op in (writes.PUT, writes.DEL):
                 held = [f for f in delta if f.op == op and f.meets(wanted)]
                 n += sum(f.rows for f in held)
+                size += sum(f.size for f in held)
                 if held:
                     parts.append(near(self._read(held)).select(*self.key, F.struct(F.lit(op).alias("op"), *self.values).alias("__d"), F.lit(order).alias("__o")))
         if not parts:
@@ -151,7 +154,7 @@ class Store:
         if len(version.deltas) > 1:
             over = over.groupBy(*self.key).agg(F.max_by("__d", "__o").alias("__d"))
         keys = over.select(*self.key)
-        kept = base.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, self.key, "left_anti")
+        kept = base.join(F.broadcast(keys) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else keys, self.key, "left_anti")
         put = over.where(F.col("__d.op") == writes.PUT).select(*self.key, *[F.col(f"__d.{c}").alias(c) for c in self.values])
         return kept.unionByName(put.select(*self.schema.names))
 
@@ -238,7 +241,8 @@ class Store:
     def write_base(self, rows: DataFrame) -> list[DataFile]:
         """Base files with disjoint key ranges, sorted inside."""
         folder = f"data/{uuid.uuid4().hex}"
-        rows.repartitionByRange(*self.key).sortWithinPartitions(*self.key).write.option("maxRecordsPerFile", self.options.file_rows).parquet(f"{self.files.root}/{folder}")
+        dealt = rows.repartitionByRange(self.options.ranges, *self.key) if self.options.ranges else rows.repartitionByRange(*self.key)
+        dealt.sortWithinPartitions(*self.key).write.option("maxRecordsPerFile", self.options.file_rows).parquet(f"{self.files.root}/{folder}")
         return [DataFile(p, "base", r["n"], r["file_size"], self._extreme(r["lo"]), self._extreme(r["hi"])) for p, r in self.stats(folder, "base") if r["n"]]
 
 
@@ -275,9 +279,22 @@ class Writer:
 
     _store: Store
 
-    def _run(self, what: str, build: Callable[[DataFrame], DataFrame], batch: str | None = None) -> WriteResult:
+    def _run(self, what: str, build: Callable[[DataFrame], DataFrame], touching: DataFrame | KeyRange, batch: tuple[str, int] | None = None) -> WriteResult:
+        """``touching``: the keys, or the range of keys, that the write looks at."""
         raise NotImplementedError
 
+    def _met(self, version: Version, touching: DataFrame | KeyRange) -> DataFrame:
+        """The version's rows that a write looks at (maybe more): few files, and few rows of them for a small batch."""
+        store = self._store
+        if isinstance(touching, KeyRange):
+            return store.rows(version, touching)
+        keys = touching.select(*store.key)
+        whole = F.struct(*store.key)
+        ends = keys.agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).first()
+        if ends["lo"] is None or any(x is None for x in ends["lo"]):
+            return store.rows(version)
+        return narrowed(store.rows(version, KeyRange(store._extreme(ends["lo"]), store._extreme(ends["hi"]))), keys, store.key)
+
     def _once(self, batch: DataFrame, *, first: bool = False) -> DataFrame:
         """One row for each key: the last in input order, or the first."""
         at = F.monotonically_increasing_id()
@@ -304,7 +321,7 @@ class Writer:
     def put_range(self, batch: DataFrame | Sequence[Any] | Mapping[Any, Any], *, batch_id: tuple[str, int] | None = None) -> WriteResult:
         """Upsert all rows at once; of rows with one key the last in input order stays."""
         rows = self._once(self._rows(batch))
-        return self._run("put", lambda base: writes.put(base, rows, self._store.key), batch_id)
+        return self._run("put", lambda base: writes.put(base, rows, self._store.key), rows, batch_id)
 
     def put(self, *row: Any) -> bool:
         """Upsert one row; True if its key was new."""
@@ -313,39 +330,39 @@ class Writer:
     def try_insert(self, batch: DataFrame | Sequence[Any]) -> WriteResult:
         """Insert rows with absent keys; of rows with one key the first in input order counts."""
         rows = self._once(self._rows(batch), first=True)
-        return self._run("insert", lambda base: writes.try_insert(base, rows, self._store.key))
+        return self._run("insert", lambda base: writes.try_insert(base, rows, self._store.key), rows)
 
     get_or_add = try_insert
 
     def try_update(self, batch: DataFrame | Sequence[Any]) -> WriteResult:
         rows = self._once(self._rows(batch))
-        return self._run("update", lambda base: writes.try_update(base, rows, self._store.key))
+        return self._run("update", lambda base: writes.try_update(base, rows, self._store.key), rows)
 
     def update_with(self, keys: DataFrame | Sequence[Any], change: Callable[[Values], Values]) -> WriteResult:
         rows = self._unique(self._rows(keys, self._store.key))
-        return self._run("update", lambda base: writes.update_with(base, rows, self._store.key, change))
+        return self._run("update", lambda base: writes.update_with(base, rows, self._store.key, change), rows)
 
     def add_or_update(self, batch: DataFrame | Sequence[Any], change: Callable[[Values, Values], Values]) -> WriteResult:
         rows = self._unique(self._rows(batch))
-        return self._run("add or update", lambda base: writes.add_or_update(base, rows, self._store.key, change))
+        return self._run("add or update", lambda base: writes.add_or_update(base, rows, self._store.key, change), rows)
 
     def delete(self, keys: DataFrame | Sequence[Any]) -> WriteResult:
         """Remove keys; the outcome's ``old`` holds the removed values."""
         rows = self._rows(keys, self._store.key).distinct()
-        return self._run("delete", lambda base: writes.delete(base, rows, self._store.key))
+        return self._run("delete", lambda base: writes.delete(base, rows, self._store.key), rows)
 
     pop = delete
 
     def compare_and_swap(self, batch: DataFrame, *, expected: Mapping[str, str], equal: Callable[[Values, Values], Column] | None = None) -> WriteResult:
         rows = self._unique(self._rows(batch, [*self._store.schema.names, *[c for c in expected.values() if c not in self._store.schema.names]]))
-        return self._run("swap", lambda base: writes.compare_and_swap(base, rows, self._store.key, expected=expected, equal=equal))
+        return self._run("swap", lambda base: writes.compare_and_swap(base, rows, self._store.key, expected=expected, equal=equal), rows)
 
     def delete_range(self, start: Any, end: Any) -> int:
         """Remove all rows from ``start`` to ``end``, both included; how many. An inverted range removes none."""
         wanted = KeyRange.of(start, end, width=len(self._store.key))
         if wanted.empty:
             return 0
-        return self._run("delete range", lambda base: writes.delete(base, base.where(wanted.condition(self._store.key)).select(*self._store.key), self._store.key)).deleted
+        return self._run("delete range", lambda base: writes.delete(base, base.where(wanted.condition(self._store.key)).select(*self._store.key), self._store.key), wanted).deleted
 
 
 class KeyedTable(Writer):
@@ -438,13 +455,13 @@ class KeyedTable(Writer):
         return iter(self.view())
 
     # writes
-    def _run(self, what: str, build: Callable[[DataFrame], DataFrame], batch: tuple[str, int] | None = None) -> WriteResult:
+    def _run(self, what: str, build: Callable[[DataFrame], DataFrame], touching: DataFrame | KeyRange, batch: tuple[str, int] | None = None) -> WriteResult:
         store = self._open()
         for attempt in range(store.options.retries + 1):
             version = store.manifest.latest()
             if batch and version.batches.get(batch[0], -1) >= batch[1]:
                 return WriteResult(version.number, store.spark.createDataFrame([], store.schema), 0, 0, 0, 0)
-            staged = store.stage(build(store.rows(version)))
+            staged = store.stage(build(self._met(version, touching)))
             done = WriteResult(version.number, staged.outcome, staged.inserted, staged.updated, staged.deleted, staged.unchanged)
             if not staged.files and not batch:
                 return done
@@ -660,8 +677,8 @@ class Transaction(Writer):
     def __len__(self) -> int:
         return self.view().count()
 
-    def _run(self, what: str, build: Callable[[DataFrame], DataFrame], batch: Any = None) -> WriteResult:
-        staged = self._store.stage(build(self._store.rows(self._now())))
+    def _run(self, what: str, build: Callable[[DataFrame], DataFrame], touching: DataFrame | KeyRange, batch: Any = None) -> WriteResult:
+        staged = self._store.stage(build(self._met(self._now(), touching)))
         self._staged.append(staged)
         return WriteResult(self._start.number, staged.outcome, staged.inserted, staged.updated, staged.deleted, staged.unchanged)
 

@@ -308,3 +308,27 @@ def test_stream_sink_applies_a_batch_once(spark, path, tmp_path):
     version = t.statistics().version
     t.put_range([(1, 0)], batch_id=("s", 0))  # a batch that was applied before
     assert t.statistics().version == version and t[1].v == 5
+
+
+def test_files_in_and_out(spark, path, tmp_path):
+    from rangeloom.sources.external import export, table_from_files
+
+    spark.createDataFrame([(3, "c"), (1, "a"), (2, None)], "k int, v string").write.csv(str(tmp_path / "csv"))
+    t = table_from_files(spark, path, str(tmp_path / "csv"), key="k", format="csv", schema="k int, v string")
+    assert content(t) == {1: "a", 2: None, 3: "c"}
+    export(t.view(), str(tmp_path / "json"), format="json")
+    assert spark.read.schema("k int, v string").json(str(tmp_path / "json")).count() == 3
+    with pytest.raises(ValueError):
+        table_from_files(spark, path + "2", str(tmp_path / "csv"), key="k", format="csv")
+
+
+def test_small_writes_look_at_few_files(spark, path):
+    t = KeyedTable.create(spark, path, "k int, v string", "k", Options(file_rows=100))
+    t.load(spark.range(2000).select(F.col("id").cast("int").alias("k"), F.lit("v").alias("v")))
+    batch = spark.createDataFrame([(150, "x"), (160, "y")], "k int, v string")
+    met = t._met(t.view().version, batch)
+    assert len(met.inputFiles()) == 1 and met.count() == 2
+    t.put_range(batch)
+    assert t[150].v == "x" and len(t) == 2000
+    t.checkpoint()
+    assert t.statistics().base_files >= 20 and t.validate().is_valid and t.count_range(0, 1999) == 2000
