@@ -14,10 +14,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which some learned language explains more than single letters."""
+    """Drops documents without letters, and those most of whose letters no labelled text has; all stay if none is labelled."""
     from rangeloom.llm.langid import identify, learn_sample
 
-    named = identify(docs, learn_sample(docs))
+    samples = learn_sample(docs)
+    if not samples:
+        return docs
+    named = identify(docs, samples)
     return named.where(F.col("__lang.evidence")).select(*docs.columns)
 
 

@@ -124,10 +124,11 @@ class Parser:
             codes = codes[keep]
         return codes
 
-    def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Letters per text, and phrases per text and language."""
+    def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Letters and learned letters per text, and phrases per text and language."""
         codes = [self.encode(t) for t in texts]
         letters = np.array([int((c >= OTHER).sum()) for c in codes], dtype=np.int64)
+        learned = np.array([int((c >= FIRST).sum()) for c in codes], dtype=np.int64)
         lanes = np.array([-(-len(c) // STRETCH) for c in codes], dtype=np.int64)
         first = np.concatenate(([0], np.cumsum(lanes)))
         flat = np.zeros(int(first[-1]) * STRETCH, dtype=np.uint8)
@@ -145,10 +146,10 @@ class Parser:
                 begun += got & 1
                 np.right_shift(got, 1, out=state)
             phrases[:, j] = np.bincount(of, weights=begun, minlength=len(texts))
-        return letters, phrases
+        return letters, learned, phrases
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        letters, phrases = self.parse(texts)
+        letters, learned, phrases = self.parse(texts)
         cost = phrases * np.array(self.weights)
         best = cost.argmin(axis=1)
         at = np.arange(len(texts))
@@ -160,8 +161,7 @@ class Parser:
             next_best = np.maximum(letters, 1) * self.weights[0]
         score = np.clip(1 - least / np.maximum(next_best, 1e-9), 0, 1)
         score[letters == 0] = 0
-        evidence = (phrases.min(axis=1) < letters) if len(texts) else np.zeros(0, bool)
-        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)], score, evidence & (letters > 0)
+        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)], score, (letters > 0) & (2 * learned >= letters)
 
 
 @lru_cache(maxsize=2)
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, samples: dict[str, str], *, text: str = "text") ->
     """``docs`` with the columns ``__lang`` (struct of lang_pred, score, evidence) added.
 
     lang_pred is ``und`` for a null text, one without letters, or if nothing was learned; score is 1 - the winner's
-    cost over the runner-up's (0: tie); evidence tells whether any phrase was longer than one letter.
+    cost over the runner-up's (0: tie); evidence tells whether at least half of the letters occur in training texts.
     """
     held = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))
 

@@ -148,8 +148,8 @@ def test_parse_equals_greedy_longest_matches():
     for _ in range(200):
         text = word("abcdefgh ", rng.randint(1, 200)).strip() or "a"
         flat = re.sub(" +", " ", text)
-        letters, got = parser.parse([text])
-        assert letters[0] == sum(map(str.isalpha, text))
+        letters, learned, got = parser.parse([text])
+        assert letters[0] == sum(map(str.isalpha, text)) and learned[0] == letters[0] - text.count("h")
         assert got[0].tolist() == [phrases(flat, samples["x"]), phrases(flat, samples["y"])]
 
 
