@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from .bounds import Key, KeyRange
 from .errors import ClosedError, ConflictError, DuplicateKeyError, FinishedError, KeyedTableError, KeyTooLongError, MaintenanceError, NullKeyError, SchemaError
 from .operators import writes
+from .operators.checks import key_report
 from .operators.reads import ReadView, narrowed
 from .sources.files import Files
 from .sources.manifest import DataFile, Manifest, Version
@@ -371,8 +372,8 @@ class KeyedTable(Writer):
     def __init__(self, store: Store):
         self._store = store
         self._closed = False
-        self._transactions: set[int] = set()
-        self._snapshots: set[int] = set()
+        self._transactions: set[Transaction] = set()
+        self._snapshots: set[Snapshot] = set()
         self._pool = ThreadPoolExecutor(1, thread_name_prefix="rangeloom-commit")
         self._compacting = threading.Lock()
 
@@ -550,16 +551,13 @@ class KeyedTable(Writer):
         store = self._open()
         numbers = store.manifest.numbers()[-keep_versions:]
         needed = {f.path for n in {*numbers, *store.manifest.leased()} for f in store.manifest.at(n).files}
-        needed |= {f.path for t in list(self._open_transactions()) for f in t._staged_files()}
+        needed |= {f.path for t in list(self._transactions) for f in t._staged_files()}
         limit = (time.time() - older_than_seconds) * 1000
         gone = [(p, n) for p, n, at in store.files.walk("data") if p not in needed and p.endswith(".parquet") and at <= limit]
         for p, _ in gone:
             store.files.delete(p)
         return len(gone), sum(n for _, n in gone)
 
-    def _open_transactions(self) -> list[Transaction]:
-        return list(self._live) if hasattr(self, "_live") else []
-
     def statistics(self) -> Statistics:
         store = self._open()
         v = store.manifest.latest()
@@ -576,8 +574,6 @@ class KeyedTable(Writer):
         for a, b in zip(version.base, version.base[1:], strict=False):
             if not a.greatest < b.least:
                 errors.append(f"base files overlap: {a.path} ends at {a.greatest}, {b.path} starts at {b.least}")
-        from .operators.checks import key_report
-
         report = key_report(store.rows(version), store.key).first()
         if report["n_repeated"]:
             errors.append(f"{report['n_repeated']} rows repeat a key")
@@ -603,13 +599,13 @@ class Snapshot(TableView):
         super().__init__(table._store, version)
         self._table, self._lease = table, uuid.uuid4().hex
         self.store.manifest.lease(version.number, self._lease)
-        table._snapshots.add(id(self))
+        table._snapshots.add(self)
 
     def close(self) -> None:
         if self._lease:
             self.store.manifest.release(self._lease)
             self._lease = ""
-            self._table._snapshots.discard(id(self))
+            self._table._snapshots.discard(self)
 
     def __enter__(self) -> Snapshot:
         return self
@@ -637,8 +633,7 @@ class Transaction(Writer):
         self._finished = False
         self._lease = uuid.uuid4().hex
         self._store.manifest.lease(version.number, self._lease)
-        table._transactions.add(id(self))
-        table._live = getattr(table, "_live", set()) | {self}
+        table._transactions.add(self)
 
     def _staged_files(self) -> list[DataFile]:
         return [f for s in self._staged for f in s.files]
@@ -716,8 +711,7 @@ class Transaction(Writer):
     def _end(self) -> None:
         self._finished = True
         self._store.manifest.release(self._lease)
-        self._table._transactions.discard(id(self))
-        self._table._live.discard(self)
+        self._table._transactions.discard(self)
 
     def __enter__(self) -> Transaction:
         return self
