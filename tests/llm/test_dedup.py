@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rangeloom.llm import decontam, licenses, minhash, vectors
+from rangeloom.llm import components, decontam, licenses, minhash, vectors
 from rangeloom.llm.components import connected_components
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -29,8 +29,10 @@ def closure(ids, links):
     return {i: root(i) for i in ids}
 
 
+@pytest.mark.parametrize("local", [3, 100_000])
 @pytest.mark.parametrize("kind", ["chain", "random", "star", "none"])
-def test_components(spark, kind):
+def test_components(spark, monkeypatch, kind, local):
+    monkeypatch.setattr(components, "LOCAL", local)
     rng = random.Random(7)
     n = 400
     links = {"chain": [(i, i + 1) for i in range(n)], "random": [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 2)], "star": [(n - 1, i) for i in range(0, n, 2)], "none": []}[kind]
