@@ -242,9 +242,9 @@ def count_range_inverted(spark, sf_dir):
 
 
 # --- writes, as pure functions ---
-#: A batch against orders: every third key again and as many new ones, with other prices.
-_BATCH_SQL = """(SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_orderkey + 1000000 END AS o_orderkey, o_custkey, 'X' AS o_orderstatus,
-  o_totalprice * 2 AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 3 < 2)"""
+#: A batch against orders: an order of each customer, some under present keys and some under new ones.
+_BATCH_SQL = """(SELECT c_custkey * 13 AS o_orderkey, c_custkey AS o_custkey, 'X' AS o_orderstatus, c_acctbal AS o_totalprice,
+  TIMESTAMP '1998-01-01 00:00:00' AS o_orderdate, c_mktsegment AS o_orderpriority FROM customer)"""
 _KEY = ["o_orderkey"]
 
 
@@ -253,9 +253,10 @@ def _base(spark, sf_dir):
 
 
 def _batch(spark, sf_dir):
-    key = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).otherwise(F.col("o_orderkey") + 1_000_000)
-    rows = _base(spark, sf_dir).where(F.col("o_orderkey") % 3 < 2)
-    return rows.withColumn("o_orderkey", key).withColumn("o_orderstatus", F.lit("X")).withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    return table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") * 13).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.lit("X").alias("o_orderstatus"), F.col("c_acctbal").alias("o_totalprice"),
+        F.lit("1998-01-01 00:00:00").cast("timestamp_ntz").alias("o_orderdate"), F.col("c_mktsegment").alias("o_orderpriority"),
+    )
 
 
 @query(f"SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_BATCH_SQL}) UNION ALL SELECT * FROM {_BATCH_SQL}")
@@ -294,10 +295,10 @@ def try_update(spark, sf_dir):
     return writes.apply(base, writes.try_update(base, _batch(spark, sf_dir), _KEY), _KEY)
 
 
-@query("SELECT * REPLACE (CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal) FROM customer")
+@query("SELECT * REPLACE (CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal) FROM customer")
 def update_expr(spark, sf_dir):
     base = table(spark, sf_dir, "customer")
-    keys = base.where(F.col("c_custkey") % 2 == 0).select("c_custkey")
+    keys = base.where(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
     return writes.apply(base, writes.update_with(base, keys, ["c_custkey"], increment("c_acctbal", 10)), ["c_custkey"])
 
 
@@ -334,10 +335,10 @@ def pop(spark, sf_dir):
     return out.where("op = 'del'").select("o_orderkey", "old.*")
 
 
-@query("SELECT * REPLACE (CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'S' ELSE o_orderstatus END AS o_orderstatus) FROM orders")
+@query("SELECT * REPLACE (CASE WHEN o_orderstatus = 'O' THEN 'S' ELSE o_orderstatus END AS o_orderstatus) FROM orders")
 def compare_and_swap(spark, sf_dir):
     base = _base(spark, sf_dir)
-    batch = base.where(F.col("o_orderkey") % 2 == 0).withColumn("o_orderstatus", F.lit("S")).withColumn("was", F.lit("O"))
+    batch = base.withColumn("o_orderstatus", F.lit("S")).withColumn("was", F.lit("O"))
     return writes.apply(base, writes.compare_and_swap(base, batch, _KEY, expected={"o_orderstatus": "was"}), _KEY)
 
 

@@ -480,13 +480,15 @@ class KeyedTable(Writer):
             return WriteResult(new.number, done.outcome, done.inserted, done.updated, done.deleted, done.unchanged)
         raise AssertionError
 
-    def load(self, rows: DataFrame) -> int:
-        """Fill an empty table with base files straight away; keys must be unique and not null."""
+    def load(self, rows: DataFrame, *, unique: bool = False) -> int:
+        """Fill an empty table with base files straight away: how many rows. Of rows with one key the last in input order
+        stays; ``unique`` says that there are none, which saves a shuffle (``validate`` finds out if that is wrong)."""
         store = self._open()
         version = store.manifest.latest()
         if version.rows or version.files:
             raise KeyedTableError("the table holds rows; use put_range")
-        base = store.write_base(self._once(store.conform(rows, store.schema.names)))
+        rows = store.conform(rows, store.schema.names)
+        base = store.write_base(rows if unique else self._once(rows))
         if any(x is None for f in base for x in f.least):
             raise NullKeyError("a key of the batch is null")
         return store.manifest.commit(version, what="load", rows=sum(f.rows for f in base), base=base).rows

@@ -322,6 +322,14 @@ def test_files_in_and_out(spark, path, tmp_path):
         table_from_files(spark, path + "2", str(tmp_path / "csv"), key="k", format="csv")
 
 
+def test_load_of_unique_rows(spark, path):
+    t = KeyedTable.create(spark, path, "k int, v string", "k")
+    assert t.load(spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string"), unique=True) == 2 and t.validate().is_valid
+    u = KeyedTable.create(spark, path + "2", "k int, v string", "k")
+    u.load(spark.createDataFrame([(1, "b"), (1, "a")], "k int, v string"), unique=True)
+    assert not u.validate().is_valid
+
+
 def test_small_writes_look_at_few_files(spark, path):
     t = KeyedTable.create(spark, path, "k int, v string", "k", Options(file_rows=100))
     t.load(spark.range(2000).select(F.col("id").cast("int").alias("k"), F.lit("v").alias("v")))
