@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,7 +164,7 @@ class Parser:
         return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)], score, (letters > 0) & (2 * learned >= letters)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(samples)
 
@@ -177,18 +177,19 @@ def identify(docs: DataFrame, samples: dict[str, str], *, text: str = "text") ->
     """
     held = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))
 
-    @F.pandas_udf("lang_pred string, score double, evidence boolean")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, evidence boolean")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parser = _parser(held.value) if held.value else None
         for batch in batches:
             names: list[str] = []
             scores, found = [np.zeros(0)], [np.zeros(0, bool)]
-            for part in by_size(batch, CHUNK_CHARS):
+            for part in by_size((x.as_py() for x in batch), CHUNK_CHARS):
                 n, s, e = parser.predict(part) if parser else ([UNKNOWN] * len(part), np.zeros(len(part)), np.zeros(len(part), bool))
                 names += n
                 scores.append(s)
                 found.append(e)
-            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype="object"), "score": np.concatenate(scores), "evidence": np.concatenate(found)})
+            columns = [pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(found))]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "evidence"])
 
     return docs.withColumn("__lang", predict(F.col(text)))
 

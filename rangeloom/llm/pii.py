@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,9 +149,10 @@ def personal_data(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -
 def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; null stays null, all other columns as they are."""
 
-    @F.pandas_udf("string")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([one if one is None else redacted(one, find(one)) for one in batch], dtype="object")
+            texts = (x.as_py() for x in batch)
+            yield pa.array([one if one is None else redacted(one, find(one)) for one in texts], pa.string())
 
     return docs.withColumn(text, clean(F.col(text)))

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import by_size
 from .tokens import SPACE, pretokens
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 PAIR_ENTRIES = 300_000
 CHUNK_CHARS = 1 << 20
 #: A character without a piece costs so much more than the worst piece (fixed by the library).
@@ -256,7 +256,7 @@ class Encoder:
         return out[1:] if out[:1] == " " else out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, bpe: bool | None = None) -> Encoder:
     return Encoder(path, bpe)
 
