@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+from pyspark.sql import DataFrame
+
 from ..sources.scratch import materialise, shared_folder
 
-__all__ = ["by_size", "materialise", "shared_folder"]
+__all__ = ["bounded_batches", "by_size", "materialise", "shared_folder"]
+
+#: Spark's limit of a batch that goes to Python, as it comes and as the text operators set it.
+_LIMIT, _DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Let a session send texts to Python in batches of 4 MB, unless it names a limit of its own: rows can be long."""
+    if df.sparkSession.conf.get(_LIMIT) == _DEFAULT:
+        df.sparkSession.conf.set(_LIMIT, BATCH)
 
 
 def by_size(texts: Iterable[str | None], most: int) -> Iterator[list[str]]:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # --- fixed values: element names of HTML, and words that mark what isn't article text ---
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed".split())
@@ -273,6 +275,8 @@ def main_text(pages: DataFrame, *, page: str = "html", key: str = "page_id", url
     columns are ignored.
     """
 
+    bounded_batches(pages)
+
     @F.pandas_udf("text string, n_chars long")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:

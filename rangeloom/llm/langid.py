@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import bounded_batches, by_size
 
 UNKNOWN = "und"
 STRETCH = 256
@@ -175,6 +175,7 @@ def identify(docs: DataFrame, samples: dict[str, str], *, text: str = "text") ->
     lang_pred is ``und`` for a null text, one without letters, or if nothing was learned; score is 1 - the winner's
     cost over the runner-up's (0: tie); evidence tells whether at least half of the letters occur in training texts.
     """
+    bounded_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))
 
     @F.arrow_udf("lang_pred string, score double, evidence boolean")

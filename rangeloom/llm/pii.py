@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 BASE = ("email", "ip", "card", "phone")
 #: Kinds beyond the base: URLs that carry a login, bank accounts (IBAN), announced account and social security numbers.
 MORE = ("login", "iban", "account", "ssn")
@@ -133,6 +135,8 @@ def personal_data(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -
     Null and empty texts have no spans; repeated rows are read each; other columns are ignored.
     """
 
+    bounded_batches(docs)
+
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_more long")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,6 +153,8 @@ def personal_data(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -
 def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; null stays null, all other columns as they are."""
 
+    bounded_batches(docs)
+
     @F.arrow_udf("string")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 BASE = ("assign", "access", "hex")
 #: Beyond the base: quoted literals of other sensitive names, and constants that end up in a sensitive name.
 MORE = ("literal", "constant")
@@ -113,6 +115,8 @@ def secrets(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> Data
     Null and empty texts have no spans; repeated rows are read each; other columns are ignored.
     """
 
+    bounded_batches(docs)
+
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_more long")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_size
+from .common import bounded_batches, by_size
 from .tokens import SPACE, pretokens
 
 CACHE_ENTRIES = 250_000
@@ -269,6 +269,8 @@ def encode(docs: DataFrame, model: str, *, bpe: bool | None = None, text: str =
     """
 
 
+    bounded_batches(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model, bpe)
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_size
+from .common import bounded_batches, by_size
 
 #: Marks a space inside SentencePiece pieces (fixed by that library).
 SPACE = "▁"
@@ -101,6 +101,7 @@ def token_counts(docs: DataFrame, model: str, *, limit: int = 4096, text: str =
     ``model`` is a SentencePiece file that every executor can open. Null and empty texts count 0; repeated rows
     are counted each; other columns are ignored. Texts are counted whole, whatever their length.
     """
+    bounded_batches(docs)
     whole = docs.sparkSession.sparkContext.broadcast(prove_whole(model))
 
     @F.pandas_udf(T.LongType())
