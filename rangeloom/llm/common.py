@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..sources.scratch import materialise, shared_folder
 
-__all__ = ["bounded_batches", "by_size", "materialise", "shared_folder"]
+__all__ = ["bounded_batches", "by_size", "materialise", "shared_folder", "sole"]
 
 #: Spark's limit of a batch that goes to Python, as it comes and as the text operators set it.
 _LIMIT, _DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
+_held: dict[tuple, Any] = {}
+
+
+def sole(build: Callable, *args) -> Any:
+    """``build(*args)``, kept until another is asked for: a Python worker serves stage after stage, and needs the tables of one."""
+    wanted = (build, *args)
+    if wanted not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[wanted] = build(*args)
+    return _held[wanted]
+
 
 def bounded_batches(df: DataFrame) -> None:
     """Let a session send texts to Python in batches of 4 MB, unless it names a limit of its own: rows can be long."""

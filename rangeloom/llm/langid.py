@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_size
+from .common import bounded_batches, by_size, sole
 
 UNKNOWN = "und"
 STRETCH = 256
@@ -164,11 +163,6 @@ class Parser:
         return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)], score, (letters > 0) & (2 * learned >= letters)
 
 
-@lru_cache(maxsize=1)
-def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(samples)
-
-
 def identify(docs: DataFrame, samples: dict[str, str], *, text: str = "text") -> DataFrame:
     """``docs`` with the columns ``__lang`` (struct of lang_pred, score, evidence) added.
 
@@ -180,7 +174,7 @@ def identify(docs: DataFrame, samples: dict[str, str], *, text: str = "text") ->
 
     @F.arrow_udf("lang_pred string, score double, evidence boolean")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        parser = _parser(held.value) if held.value else None
+        parser = sole(Parser, held.value) if held.value else None
         for batch in batches:
             names: list[str] = []
             scores, found = [np.zeros(0)], [np.zeros(0, bool)]

@@ -10,14 +10,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, sole
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds beyond the base: URLs that carry a login, bank accounts (IBAN), announced account and social security numbers.
@@ -37,7 +36,6 @@ SSN = re.compile(r"(?:\x20?(?:number|no))?\.?\x20?[:#=]?\x20?([0-9]{3}-[0-9]{2}-
 CUES = {"iban": "iban", "account": "account", "acct": "account", "ssn": "ssn", "social security": "ssn"}
 
 
-@lru_cache(maxsize=1)
 def anchors():
     import ahocorasick
 
@@ -80,7 +78,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         if valid:
             out.setdefault(kind, []).append((start, end))
 
-    for at, (what, size) in anchors().iter(text):
+    for at, (what, size) in sole(anchors).iter(text):
         start = at - size + 1
         if what == "digit":
             if at >= run_end:  # the first digit of a run

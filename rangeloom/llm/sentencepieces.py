@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, by_size
+from .common import bounded_batches, by_size, sole
 from .tokens import SPACE, pretokens
 
 CACHE_ENTRIES = 250_000
@@ -256,11 +255,6 @@ class Encoder:
         return out[1:] if out[:1] == " " else out
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str, bpe: bool | None = None) -> Encoder:
-    return Encoder(path, bpe)
-
-
 def encode(docs: DataFrame, model: str, *, bpe: bool | None = None, text: str = "text") -> DataFrame:
     """``docs`` with the column ``__pieces`` (struct of ids array<int>, n_ids, round_trip) added.
 
@@ -268,11 +262,10 @@ def encode(docs: DataFrame, model: str, *, bpe: bool | None = None, text: str =
     Null and empty texts have no ids and round_trip true. ``model`` is a file that every executor can open.
     """
 
-
     bounded_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model, bpe)
+        enc = sole(Encoder, model, bpe)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             at = 0
@@ -296,7 +289,7 @@ def decode(encoded: DataFrame, model: str, *, bpe: bool | None = None, ids: str
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(model, bpe)
+        enc = sole(Encoder, model, bpe)
         for batch in batches:
             yield pd.Series([None if x is None else enc.decode(np.asarray(x)) for x in batch], dtype="object")
 

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, by_size
+from .common import bounded_batches, by_size, sole
 
 #: Marks a space inside SentencePiece pieces (fixed by that library).
 SPACE = "▁"
@@ -28,7 +27,6 @@ CACHE_ENTRIES = 300_000
 CHUNK_CHARS = 1 << 20
 
 
-@lru_cache(maxsize=2)
 def processor(path: str):
     import sentencepiece
 
@@ -90,11 +88,6 @@ class Counter:
         return [sum(map(get, x)) for x in cut]
 
 
-@lru_cache(maxsize=2)
-def _counter(path: str, whole: frozenset[str]) -> Counter:
-    return Counter(path, whole)
-
-
 def token_counts(docs: DataFrame, model: str, *, limit: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``).
 
@@ -106,7 +99,7 @@ def token_counts(docs: DataFrame, model: str, *, limit: int = 4096, text: str =
 
     @F.pandas_udf(T.LongType())
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = _counter(model, whole.value)
+        counter = sole(Counter, model, whole.value)
         for batch in batches:
             yield pd.Series([n for part in by_size(batch, CHUNK_CHARS) for n in counter.count(part)], dtype="int64")
 
