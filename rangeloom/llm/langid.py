@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, by_size, sole
@@ -32,7 +32,8 @@ def learn_sample(docs: DataFrame, *, train_chars: int = 32_768, rows: int = 96,
 
     Only rows whose crc32(key as text) mod 5 is not 0 are used. The rows are those with the smallest key hashes, so
     the sample doesn't depend on the partitioning; each gives at most an eighth of a language's text, from a place
-    chosen by that hash, and equal stretches are taken once. Languages are few (they are class labels).
+    chosen by that hash, and equal stretches are taken once. Languages are few (they are class labels). At most
+    2 * ``rows`` stretches a language reach the driver, also where one key repeats in many rows.
     """
     labelled = (
         docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
@@ -45,7 +46,9 @@ def learn_sample(docs: DataFrame, *, train_chars: int = 32_768, rows: int = 96,
     share = F.create_map(*[x for l, n in sizes.items() for x in (F.lit(l), F.lit(int(min(1.0, rows / n) * (1 << 40))))])
     each = train_chars // 8
     piece = F.substring("t", (1 + F.col("h") % F.greatest(F.lit(1), F.length("t") - each + 1)).cast("int"), F.lit(each))
-    picked = labelled.where(F.col("t").isNotNull() & (F.col("h") < share[F.col("l")])).select("l", "h", "k", piece.alias("p")).collect()
+    picked = labelled.where(F.col("t").isNotNull() & (F.col("h") < share[F.col("l")])).select("l", "h", "k", piece.alias("p")).distinct()
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "k", "p"))
+    picked = picked.withColumn("i", first).where(F.col("i") <= 2 * rows).collect()
     out: dict[str, str] = {}
     for l in sorted(sizes):
         parts = dict.fromkeys(r["p"] for r in sorted((r for r in picked if r["l"] == l), key=lambda r: (r["h"], r["k"], r["p"])))
