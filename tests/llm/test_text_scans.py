@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rangeloom.llm import langid, pii, secret_scan, sentencepieces, tokens
+from rangeloom.llm import common, langid, pii, secret_scan, sentencepieces, tokens
 from rangeloom.llm.queries import tokenizer
 
 SMALL = "/root/testdata/sf0.001"
@@ -140,6 +140,33 @@ def phrases(text, train):
     return n
 
 
+def test_learning_is_bounded_where_a_key_repeats(spark):
+    ids = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % langid.FOLDS]
+    plain = spark.createDataFrame([(i, f"the text of row {i} is its own", "en") for i in ids], "doc_id long, text string, lang string")
+    hot = langid.learn_sample(plain, rows=len(ids) * 2)
+    assert hot["en"].count("its own") == len(ids)
+    assert langid.learn_sample(plain.unionByName(plain), rows=len(ids) * 2) == hot
+    # the key whose hash comes first, in a hundred rows of different texts
+    key = plain.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).first()["doc_id"]
+    one_key = spark.range(100).select(F.lit(key).alias("doc_id"), F.format_string("row %d is its own", "id").alias("text"), F.lit("en").alias("lang"))
+    assert langid.learn_sample(one_key, rows=10)["en"].count("its own") == 20
+
+
+def test_a_worker_holds_one_table():
+    built = []
+
+    def one(x):
+        built.append(x)
+        return [x]
+
+    def other():
+        return "other"
+
+    assert common.sole(one, 1) is common.sole(one, 1)
+    assert common.sole(one, 2) == [2] and built == [1, 2]
+    assert common.sole(other) == "other" and common.sole(one, 2) == [2] and built == [1, 2, 2]
+
+
 def test_parse_equals_greedy_longest_matches():
     rng = random.Random(3)
     word = lambda s, k: "".join(rng.choices(s, k=k))
