@@ -84,15 +84,15 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         name = NAME_END.search(text, max(0, left - 64), left)
         if not name:
             continue
-        points = name_points(name[0])
+        sensitive = target is not None or name_points(name[0]) >= SENSITIVE
         if quoted := QUOTED.match(text, right):
             span = quoted.span(2)
             if varied(quoted[2]):
                 constants[name[0]] = span
-                if points >= SENSITIVE and span not in used and not target:
+                if sensitive and span not in used:
                     used.add(span)
                     out.setdefault("literal", []).append(span)
-        elif points >= SENSITIVE and (source := NAME.match(text, right)) and (span := constants.get(source[0])) and span not in used:
+        elif sensitive and (source := NAME.match(text, right)) and (span := constants.get(source[0])) and span not in used:
             used.add(span)
             out.setdefault("constant", []).append(span)
     if "constant" in out:

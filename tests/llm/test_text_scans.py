@@ -258,6 +258,13 @@ def test_assignments_are_read():
     assert secret_scan.find("The key point: it is a token of love = nothing") == {}
 
 
+def test_literals_that_the_base_words_miss_are_read():
+    for name in ("password", "DB_PASSWORD", "auth_token", "client_secret", "api_key", "pwd"):
+        text = f'{name} = "p@ssw0rd!2024"'
+        assert {k: [text[a:b] for a, b in v] for k, v in secret_scan.find(text).items()} == {"literal": ["p@ssw0rd!2024"]}
+    assert secret_scan.find('password = "hunter2x9Q"') == {"assign": [(0, 22)]}
+
+
 def test_secret_rows(spark, odd):
     assert secret_scan.secrets(odd).count() == len(ROWS) and secret_scan.secrets(odd.limit(0)).collect() == []
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
