@@ -1,9 +1,9 @@
 """Secrets by assignment-aware lexing.
 
 The lexer stops at each assignment sign (``=`` or ``:``) and reads the name on its left and the literal or name on
-its right. Literals given to sensitive names are secrets; a name given a literal is a constant, and where such a
-name is itself given to a sensitive name, the constant's literal is a secret. Access keys and long hexadecimal
-literals are read as literals wherever they stand.
+its right. Literals given to sensitive names are secrets, quoted or as the last word of a line; a name given a quoted
+literal is a constant, and where it is given to a sensitive name, also through other names and from below, the
+constant's literals are secrets. Access keys and long hexadecimal literals are read as literals wherever they stand.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 BASE = ("assign", "access", "hex")
-#: Beyond the base: quoted literals of other sensitive names, and constants that end up in a sensitive name.
+#: Beyond the base: other literals of sensitive names, and constants that end up in a sensitive name.
 MORE = ("literal", "constant")
 KINDS = BASE + MORE
 
@@ -29,7 +29,14 @@ SIGN = re.compile(r"[:=]")
 WORDS = re.compile(r"(?:password|passwd|secret|token|api_?key)\Z", re.IGNORECASE | re.ASCII)
 VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 QUOTED = re.compile(r"""(["'])((?:[^"'\\\n]|\\.)+)\1""")
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)(?:\.[A-Za-z_][A-Za-z0-9_]*)*")
+#: An unquoted value: the last word of its line, but for a comment.
+BARE = re.compile(r"""[^\s"'`(\[{=>~][^\s]*""")
+BARE_END = re.compile(r"[ \t]*(?:[\r\n]|\Z)|[ \t]+(?:#|//|;)")
+#: Unquoted values that are names, or begin with a call or subscript of one.
+CODE = re.compile(r"[A-Za-z_.]+|[A-Za-z_][A-Za-z0-9_.]*[(\[].*", re.DOTALL)
+#: What stands for a value given elsewhere.
+PLACEHOLDER = re.compile(r"\$\{.*\}|\$\(.*\)|\$[A-Z_][A-Z0-9_]*|\{\{.*\}\}|\{[A-Za-z_][A-Za-z0-9_.]*\}|<.*>|%[A-Za-z_]+%")
 NAME_END = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]{0,63}\Z", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -51,9 +58,9 @@ def name_points(name: str) -> int:
 
 def varied(literal: str) -> bool:
     n = len(literal)
-    if n < LEAST_LENGTH or any(c in literal for c in " \t<>{}$"):
+    if n < LEAST_LENGTH or " " in literal or "\t" in literal or PLACEHOLDER.fullmatch(literal):
         return False
-    return -sum(c / n * math.log2(c / n) for c in Counter(literal).values()) >= LEAST_BITS and not literal.isalpha()
+    return -sum(c / n * math.log2(c / n) for c in Counter(literal).values()) >= LEAST_BITS
 
 
 def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
@@ -61,8 +68,10 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {}
     if not text:
         return out
-    behind = 0
-    constants: dict[str, tuple[int, int]] = {}
+    behind = bare_behind = 0
+    literals: dict[str, list[tuple[int, int]]] = {}
+    aliases: dict[str, set[str]] = {}
+    met: set[str] = set()
     used: set[tuple[int, int]] = set()
     size = len(text)
     for sign in SIGN.finditer(text):
@@ -76,11 +85,13 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         while right < size and text[right] == " ":
             right += 1
         target = WORDS.search(text, max(0, left - 8), left)
+        taken = False
         if target and target.start() >= behind and (value := VALUE.match(text, right + (right < size and text[right] in "\"'"))):
             behind = value.end()
             if value.end() - value.start() >= 6:
                 out.setdefault("assign", []).append((target.start(), value.end()))
                 used.add(value.span())
+                taken = True
         name = NAME_END.search(text, max(0, left - 64), left)
         if not name:
             continue
@@ -88,13 +99,35 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         if quoted := QUOTED.match(text, right):
             span = quoted.span(2)
             if varied(quoted[2]):
-                constants[name[0]] = span
+                literals.setdefault(name[0], []).append(span)
                 if sensitive and span not in used:
                     used.add(span)
                     out.setdefault("literal", []).append(span)
-        elif sensitive and (source := NAME.match(text, right)) and (span := constants.get(source[0])) and span not in used:
-            used.add(span)
-            out.setdefault("constant", []).append(span)
+            continue
+        if source := NAME.match(text, right):
+            aliases.setdefault(name[0], set()).update((source[0], source[1]))
+            if sensitive:
+                met.update((source[0], source[1]))
+        # a value that was read already is no place of further ones
+        if sensitive and not taken and right >= bare_behind and (bare := BARE.match(text, right)):
+            bare_behind = bare.end()
+            value = bare[0].rstrip(",;")
+            span = (right, right + len(value))
+            if span not in used and BARE_END.match(text, bare_behind) and not CODE.fullmatch(value) and varied(value):
+                used.add(span)
+                out.setdefault("literal", []).append(span)
+    # wherever a constant stands, and through however many names
+    wanted = list(met)
+    while wanted:
+        one = wanted.pop()
+        for span in literals.get(one, ()):
+            if span not in used:
+                used.add(span)
+                out.setdefault("constant", []).append(span)
+        for other in aliases.get(one, ()):
+            if other not in met:
+                met.add(other)
+                wanted.append(other)
     if "constant" in out:
         out["constant"].sort()
     if found := [m.span() for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]:

@@ -219,6 +219,11 @@ def test_personal_data_of_long_runs_is_quick():
         secret_scan.find(text)
 
 
+def test_names_and_values_of_long_runs_are_quick():
+    for text in ("pwd=" * 50_000, "pwd:a1=" * 30_000, "pwd = a\n" * 50_000, "".join(f"n{i} = n{i + 1}\n" for i in range(50_000)) + "pwd = n0", "pwd=" + "{" * 200_000):
+        secret_scan.find(text)
+
+
 def test_more_personal_data():
     text = "IBAN: DE89 3704 0044 0532 0130 00, IBAN: DE88 3704 0044 0532 0130 00, SSN 123-45-6789, http://joe:pw1@host.example.com/x account no: 12345678"
     got = pii.find(text)
@@ -265,6 +270,17 @@ def test_literals_that_the_base_words_miss_are_read():
     assert secret_scan.find('password = "hunter2x9Q"') == {"assign": [(0, 22)]}
 
 
+def test_names_are_followed_and_configuration_is_read():
+    read = lambda t: {k: [t[a:b] for a, b in v] for k, v in secret_scan.find(t).items()}
+    assert read('a = "zX81kd92LL"; b = a; auth_token = b') == {"constant": ["zX81kd92LL"]}
+    assert read('auth_pwd = b\nb = a\na = "zX81kd92LL"\nc = d; d = c; db_pwd = c') == {"constant": ["zX81kd92LL"]}
+    assert read("DB_PWD=hunter2x9Q\npassphrase: zX81kd92LL # old\nexport PWD_DB=P@$$w0rd123") == {"literal": ["hunter2x9Q", "zX81kd92LL", "P@$$w0rd123"]}
+    assert read("api_key: p@ss{w0rd}<2>") == {"literal": ["p@ss{w0rd}<2>"]}
+    assert read('pwd = "P@$$w0rd123"\npassphrase = "zXkdQwLLpT"') == {"literal": ["P@$$w0rd123", "zXkdQwLLpT"]}
+    for clean in ("${VAULT_PWD1}", "{{vault.pwd1}}", "<your-pwd-1>", "$VAULT_PWD1", "settings.vault", "read1(vault2)", "a sentence of w0rds1"):
+        assert read(f"db_pwd={clean}") == {} and read(f'db_pwd="{clean}"') == ({} if clean[0] in "${<a" else {"literal": [clean]})
+
+
 def test_secret_rows(spark, odd):
     assert secret_scan.secrets(odd).count() == len(ROWS) and secret_scan.secrets(odd.limit(0)).collect() == []
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
