@@ -231,9 +231,6 @@ def content_root(tree: Tree, out: list[bool]) -> int:
     threshold = min(dense[i] for i in path)
     # the greatest sum among elements that reach the threshold
     best = max((i for i in candidates if dense[i] >= threshold), key=lambda i: (sums[i], dense[i], -i))
-    articles = [i for i in candidates if tree.tag[i] == "article"]
-    if len(articles) == 1 and dense[articles[0]] >= threshold:  # text outside the page's only article can't outdo it
-        return articles[0]
     up = best
     while up > 0 and tree.tag[up] not in ("article", "main"):
         up = tree.parent[up]

@@ -40,6 +40,14 @@ def test_odd_pages():
     assert len(extract("<article>" + "<p>word</p>" * 50_000 + "</article>")) == 50_000 * 6 - 2
 
 
+def test_an_article_that_is_only_a_card_gives_way():
+    body = "".join(f"<div><p>{f'sentence {i} of the text ' * 5}</p></div>" for i in range(30))
+    card = f"<article><p>{'about the author of all this ' * 10}</p></article>"
+    for page in (f"<body><div><section>{body}</section></div>{card}</body>", f"<body>{card}<div><section>{body}</section></div></body>"):
+        got = extract(page)
+        assert all(f"sentence {i} of" in got for i in range(30)) and "author" not in got
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
     got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in main_text(df).collect())
