@@ -4,7 +4,7 @@ A page becomes a tree of elements. For each, the characters of its text are set
 much of both belongs to links (composite text density); the densities of an element's children are summed, and the
 element with the greatest sum is the content, within the threshold that the least density on its path from the body
 sets. Elements that are never article text (menus, footers, forms, scripts, elements marked as advert, comments and
-the like) are left out before densities are taken.
+the like) are left out before densities are taken; a form or marked element with most of the page's text stays.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ COMMENTS = frozenset("comment comments commentlist disqus respond replies".split
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*>""", re.DOTALL)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 WORD = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -155,8 +155,22 @@ class Tree:
 
 
 def left_out(tree: Tree) -> list[bool]:
-    """Elements that are no article text, with all that they hold."""
+    """Elements that are no article text, with all that they hold.
+
+    A form, or an element with a mark, that holds most of the page's text outside links is left to its density: over
+    half if it holds blocks, over nine tenths if it holds bare text (a short article may be outdone by an advert).
+    """
     n = len(tree.tag)
+    plain, no_text, blocks = [0] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        no_text[i] = no_text[tree.parent[i]] or tree.tag[i] == "a" or tree.tag[i] in NEVER and tree.tag[i] != "form"
+    for node, text in tree.runs:
+        if text and not no_text[node]:
+            plain[node] += len("".join(text.split()))
+    for i in range(n - 1, 0, -1):
+        plain[tree.parent[i]] += plain[i]
+        blocks[tree.parent[i]] = blocks[tree.parent[i]] or blocks[i] or tree.tag[i] in BLOCK
+    most = [2 * x > plain[0] if b else 10 * x > 9 * plain[0] for x, b in zip(plain, blocks, strict=True)]
     holds_article = [False] * n
     for i in range(n - 1, 0, -1):
         if tree.tag[i] in ("article", "main") or holds_article[i]:
@@ -167,12 +181,14 @@ def left_out(tree: Tree) -> list[bool]:
         inside[i] = inside[p] or tag in ("article", "main")
         if out[p]:
             out[i] = True
-        elif tag in NEVER and not (tag == "form" and holds_article[i]):
+        elif tag in NEVER and not (tag == "form" and (holds_article[i] or most[i])):
             out[i] = True
         elif tag == "header" and not inside[i] and not holds_article[i]:
             out[i] = True
         elif tree.marks[i]:
-            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(tree.marks[i])}
+            found: dict[str, str] = {}
+            for m in ATTRIBUTE.finditer(tree.marks[i]):
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
             named = f"{found.get('class', '')} {found.get('id', '')}"
             words = set(WORD.findall(f"{named} {CAMEL.sub(' ', named)}".lower()))
             role = found.get("role", "").strip().lower()
@@ -182,7 +198,7 @@ def left_out(tree: Tree) -> list[bool]:
             elif tag == "article" or holds_article[i]:
                 out[i] = bool(tag == "article" and words & COMMENTS) or hidden and not holds_article[i]
             else:
-                out[i] = bool(words & MARKS) or role in ROLES or hidden or bool(words & HEADERS) and not inside[i]
+                out[i] = hidden or not most[i] and (bool(words & MARKS) or role in ROLES or bool(words & HEADERS) and not inside[i])
     return out
 
 

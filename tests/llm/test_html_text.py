@@ -48,6 +48,23 @@ def test_an_article_that_is_only_a_card_gives_way():
         assert all(f"sentence {i} of" in got for i in range(30)) and "author" not in got
 
 
+def test_attributes_are_read_by_name():
+    text = "a sentence with many plain words in it. " * 5
+    for attributes in ('href="/travel/hidden-gems.html"', 'title="a hidden valley"', 'href="/list?id=menu"', "href=/list?id=menu", "title='role=banner class=ad'", "data-hidden=no"):
+        assert "linked words" in extract(f"<article><p>{text}<a {attributes}>linked words</a></p></article>"), attributes
+    for attributes in ("hidden", 'class="menu"', "title=x id=menu", "ROLE='navigation'", 'style="display:none"', 'class="x"hidden'):
+        assert "linked words" not in extract(f"<article><p>{text}</p><div {attributes}>linked words</div></article>"), attributes
+
+
+def test_a_wrapper_of_the_page_stays():
+    inner = "".join(f"<p>{f'sentence {i} of the text ' * 5}</p>" for i in range(5))
+    for start, end in (("<form id=aspnetForm>", "</form>"), ("<div class=has-sidebar>", "</div>"), ("<div class=no-comments>", "</div>"), ("<div class='elementor-widget-theme-post-content'>", "</div>"), ("<div role=dialog>", "</div>")):
+        for page in (f"<body>{start}{inner}{end}</body>", f"<body><article>{start}{inner}{end}</article></body>", f"<body>{start}<div class=comments><p>a comment</p></div><div class=text>{inner}</div>{end}</body>"):
+            got = extract(page)
+            assert all(f"sentence {i} of" in got for i in range(5)) and "comment" not in got, page
+    assert extract(f"<body><div>{inner}</div><form><p>Sign up here</p></form><div class=no-comments>none yet</div></body>").count("\n\n") == 4
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
     got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in main_text(df).collect())
