@@ -14,14 +14,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters, and those most of whose letters no labelled text has; all stay if none is labelled."""
-    from rangeloom.llm.langid import identify, learn_sample
+    """Drops documents whose language op2 calls unknown: those without letters; all stay if none is labelled."""
+    from rangeloom.llm.langid import UNKNOWN, identify, learn_sample
 
     samples = learn_sample(docs)
     if not samples:
         return docs
     named = identify(docs, samples)
-    return named.where(F.col("__lang.evidence")).select(*docs.columns)
+    return named.where(F.col("__lang.lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ For each language a suffix automaton is built over labelled text. A text is pars
 phrases that occur in that text; the language that needs the fewest phrases, normalised by the description
 length of a phrase (log2 of its training length), wins. The automaton with its restarts at phrase ends is one
 table ``[state, letter] -> next state and whether a phrase begins``, so that many stretches of text are parsed in
-step by array look-ups. Parsing restarts every STRETCH letters, alike for all languages.
+step by array look-ups; where a script has so many letters that this table grows large, its transitions are kept
+sorted and searched instead. Parsing restarts every STRETCH letters, alike for all languages.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ UNKNOWN = "und"
 STRETCH = 256
 CHUNK_CHARS = 1 << 19
 FOLDS = 5
+#: A language with more cells than this in its table (64 MB) is parsed by search.
+DENSE_CELLS = 1 << 24
 #: Letter codes: padding, any run of non-letters, a letter that no training text holds; learned letters follow.
 PAD, GAP, OTHER, FIRST = 0, 1, 2, 3
 
@@ -40,7 +43,9 @@ def learn_sample(docs: DataFrame, *, train_chars: int = 32_768, rows: int = 96,
         .where(F.col("l").isNotNull() & (F.crc32(F.col("k").cast("string")) % FOLDS != 0))
         .withColumn("h", F.pmod(F.xxhash64("k"), F.lit(1 << 40)))
     )
-    sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    # keys with text; each needs one place in the sketch, not one in a shuffle
+    named = labelled.where(F.col("t").isNotNull() & (F.col("t") != "")).groupBy("l").agg(F.approx_count_distinct("h").alias("n"))
+    sizes = {r["l"]: max(1, r["n"]) for r in named.collect()}
     if not sizes:
         return {}
     share = F.create_map(*[x for l, n in sizes.items() for x in (F.lit(l), F.lit(int(min(1.0, rows / n) * (1 << 40))))])
@@ -56,8 +61,8 @@ def learn_sample(docs: DataFrame, *, train_chars: int = 32_768, rows: int = 96,
     return {l: t for l, t in out.items() if any(map(str.isalpha, t))}
 
 
-def automaton(codes: list[int], letters: int) -> np.ndarray:
-    """The parse table over one training text, flattened: value = 2 * (next state * letters) + (a phrase begins here)."""
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The transitions of each state of the suffix automaton of one training text."""
     following: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -84,6 +89,11 @@ def automaton(codes: list[int], letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    return following
+
+
+def dense(following: list[dict[int, int]], letters: int) -> np.ndarray:
+    """The parse table, flattened: value = 2 * (next state * letters) + (a phrase begins here)."""
     start = np.zeros(letters, dtype=np.int64)
     for c, s in following[0].items():
         start[c] = s
@@ -97,25 +107,51 @@ def automaton(codes: list[int], letters: int) -> np.ndarray:
     return table.astype(np.int32).ravel()
 
 
+class Sparse:
+    """The same table as sorted transitions: what it lacks goes on from the start."""
+
+    def __init__(self, following: list[dict[int, int]], letters: int):
+        self.letters = letters
+        keys = np.array([s * letters + c for s, nexts in enumerate(following) for c in nexts] + [len(following) * letters], dtype=np.int64)
+        nexts = np.array([x for nexts in following for x in nexts.values()] + [0], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.nexts = keys[order], nexts[order]
+        self.start = np.zeros(letters, dtype=np.int64)
+        for c, s in following[0].items():
+            self.start[c] = s
+
+    def step(self, state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and whether a phrase begins."""
+        wanted = state * self.letters + row
+        at = np.searchsorted(self.keys, wanted)
+        held = self.keys[at] == wanted
+        return np.where(held, self.nexts[at], self.start[row]), (row != PAD) & (~held | (state == 0))
+
+
 class Parser:
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [l for l, _ in samples]
         seen = sorted({c for _, t in samples for c in t.lower() if c.isalpha()})
-        if len(seen) > 250:  # one byte a letter; rarer ones count as unseen
-            often: dict[str, int] = {}
-            for _, t in samples:
-                for c in t.lower():
-                    often[c] = often.get(c, 0) + 1
-            seen = sorted(sorted(seen, key=lambda c: (-often[c], c))[:250])
         self.letters = FIRST + len(seen)
-        self.code = np.full(0x110000, GAP, dtype=np.uint8)
+        self.code = np.full(0x110000, GAP, dtype=np.min_scalar_type(self.letters))
         self.code[[i for i in range(0x110000) if chr(i).isalpha()]] = OTHER
         for i, c in enumerate(seen):
             self.code[ord(c)] = FIRST + i
-        self.tables, self.weights = [], []
+        #: A table for each language, and its own numbers of the letters (None: the common ones) if there are many.
+        self.tables: list[np.ndarray | Sparse] = []
+        self.own: list[np.ndarray | None] = []
+        self.weights = []
         for _, t in samples:
             codes = self.encode(t)
-            self.tables.append(automaton(codes.tolist(), self.letters))
+            own, letters = None, self.letters
+            if letters > 256:
+                mine = np.unique(codes[codes >= FIRST])
+                own = np.minimum(np.arange(letters), OTHER).astype(np.int32)
+                own[mine] = FIRST + np.arange(len(mine))
+                letters = FIRST + len(mine)
+            following = automaton((codes if own is None else own[codes]).tolist())
+            self.own.append(own)
+            self.tables.append(dense(following, letters) if len(following) * letters <= DENSE_CELLS else Sparse(following, letters))
             self.weights.append(math.log2(len(codes) + 2))
 
     def encode(self, text: str) -> np.ndarray:
@@ -133,16 +169,24 @@ class Parser:
         learned = np.array([int((c >= FIRST).sum()) for c in codes], dtype=np.int64)
         lanes = np.array([-(-len(c) // STRETCH) for c in codes], dtype=np.int64)
         first = np.concatenate(([0], np.cumsum(lanes)))
-        flat = np.zeros(int(first[-1]) * STRETCH, dtype=np.uint8)
+        flat = np.zeros(int(first[-1]) * STRETCH, dtype=self.code.dtype)
         for c, at in zip(codes, first, strict=False):
             flat[at * STRETCH : at * STRETCH + len(c)] = c
         steps = np.ascontiguousarray(flat.reshape(-1, STRETCH).T).astype(np.int32)
         phrases = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
         of = np.repeat(np.arange(len(texts)), lanes)
-        for j, table in enumerate(self.tables):
-            state = np.zeros(steps.shape[1], dtype=np.int32)
+        for j, (table, own) in enumerate(zip(self.tables, self.own, strict=True)):
+            mine = steps if own is None else own.take(steps)
             begun = np.zeros(steps.shape[1], dtype=np.int32)
-            for row in steps:
+            if isinstance(table, Sparse):
+                state = np.zeros(steps.shape[1], dtype=np.int64)
+                for row in mine:
+                    state, begins = table.step(state, row)
+                    begun += begins
+                phrases[:, j] = np.bincount(of, weights=begun, minlength=len(texts))
+                continue
+            state = np.zeros(steps.shape[1], dtype=np.int32)
+            for row in mine:
                 state += row
                 got = table.take(state)
                 begun += got & 1

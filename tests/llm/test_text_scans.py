@@ -180,6 +180,41 @@ def test_parse_equals_greedy_longest_matches():
         assert got[0].tolist() == [phrases(flat, samples["x"]), phrases(flat, samples["y"])]
 
 
+def test_many_letters_are_all_learned(monkeypatch):
+    rng = random.Random(4)
+    word = lambda a, n, k: "".join(chr(a + rng.randrange(n)) for _ in range(k))
+    samples = {"zh": word(0x4E00, 900, 3000), "ko": word(0xAC00, 700, 3000), "en": " ".join(word(97, 20, 5) for _ in range(300))}
+    texts = [samples[l][a : a + 40].strip() + word(0x4E00, 950, 9) + x for l in samples for a in range(0, 900, 100) for x in ("", "q", "あ")]
+    for cells in (langid.DENSE_CELLS, 0):
+        monkeypatch.setattr(langid, "DENSE_CELLS", cells)
+        parser = langid.Parser(tuple(sorted(samples.items())))
+        letters, learned, got = parser.parse(texts)
+        seen = set("".join(samples.values()))
+        for t, n, k, p in zip(texts, letters, learned, got, strict=True):
+            assert n == sum(map(str.isalpha, t)) and k == sum(c.isalpha() and c in seen for c in t)
+            assert p.tolist() == [phrases(t, samples[l]) for l in sorted(samples)]
+        names, _, evidence = parser.predict([samples[l][200:240] for l in samples])
+        assert names == list(samples) and evidence.all()
+
+
+def test_the_share_is_taken_of_keys_with_text(spark):
+    ids = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % langid.FOLDS]
+    rows = [(i, f"the text of row {i} is its own" if i % 4 == 0 else None, "en") for i in ids]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    full = sum(t is not None for _, t, _ in rows)
+    for docs in (plain, plain.unionByName(plain)):
+        assert langid.learn_sample(docs, rows=full * 2)["en"].count("its own") == full
+
+
+def test_the_pipeline_keeps_languages_with_many_letters(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = [(i, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60)), "zh") for i in range(200)] + [(300, "12 34", "zh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert corpus_pipeline.language(spark, docs, "").count() == 200
+
+
 def luhn(s):
     return sum(n if i % 2 == 0 else n * 2 - 9 * (n > 4) for i, n in enumerate(map(int, reversed(s)))) % 10 == 0
 
