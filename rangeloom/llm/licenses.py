@@ -97,6 +97,29 @@ RULES: list[tuple[str, tuple[int, ...]]] = [
     ("MPL-2.0", (112,)), ("ISC", (114,)), ("Unlicense", (115,)), ("Unlicense", (116,)),
 ]
 
+#: Further sentences and rules, which the SQL below leaves aside.
+MORE_SENTENCES: dict[int, str] = {
+    200: "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    201: "either version 2.1 of the License, or (at your option) any later version.",
+    202: "either version 3 of the License, or (at your option) any later version.",
+    203: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    204: "SPDX-License-Identifier: LGPL-2.1-only", 205: "SPDX-License-Identifier: LGPL-2.1-or-later", 206: "SPDX-License-Identifier: LGPL-3.0-or-later",
+    207: "SPDX-License-Identifier: AGPL-3.0-or-later", 208: "SPDX-License-Identifier: EPL-1.0", 209: "SPDX-License-Identifier: EPL-2.0", 210: "SPDX-License-Identifier: Artistic-2.0",
+    220: "GNU GENERAL PUBLIC LICENSE", 221: "GNU LESSER GENERAL PUBLIC LICENSE", 222: "GNU AFFERO GENERAL PUBLIC LICENSE",
+    223: "Version 3, 29 June 2007", 224: "Version 2, June 1991", 225: "Version 2.1, February 1999", 226: "Version 3, 19 November 2007",
+    227: "Apache License", 228: "Version 2.0, January 2004", 229: "Eclipse Public License - v 1.0", 230: "Eclipse Public License - v 2.0",
+    231: "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    232: "The Artistic License 2.0", 233: "Mozilla Public License Version 2.0",
+    234: "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.",
+}
+MORE_RULES: list[tuple[str, tuple[int, ...]]] = [
+    ("LGPL-2.1", (200, 201)), ("LGPL-3.0", (200, 202)), ("LGPL-3.0", (203,)), ("GPL-3.0", (55, 202)),
+    ("LGPL-2.1", (204,)), ("LGPL-2.1", (205,)), ("LGPL-3.0", (206,)), ("AGPL-3.0", (207,)), ("EPL-1.0", (208,)), ("EPL-2.0", (209,)), ("Artistic-2.0", (210,)),
+    ("GPL-3.0", (220, 223)), ("GPL-2.0", (220, 224)), ("LGPL-2.1", (221, 225)), ("LGPL-3.0", (221, 223)), ("AGPL-3.0", (222, 226)),
+    ("Apache-2.0", (227, 228)), ("EPL-1.0", (229,)), ("EPL-2.0", (230,)), ("EPL-2.0", (231,)), ("Artistic-2.0", (232,)), ("MPL-2.0", (233,)),
+    ("BSD-3-Clause", (70, 71, 72, 234)),
+]
+
 #: Every known sentence holds one of these; texts without any need no cutting.
 CUES = ("licen", "permission", "redistribut", "copyright", "warrant", "public domain", "mozilla")
 #: Other known sentences that may stand between two of a rule.
@@ -108,6 +131,17 @@ COLON = r":[ \t\r]*\n"
 JOIN = r"[ \t\r]*\n[ \t\r/*#>;%-]*"
 BLANK = r"\n[ \t\r/*#>;%-]*\n"
 JUNK = r"[^a-z0-9+]+"
+#: The holder's name in the third clause and the disclaimer of BSD licences, also wrapped; it may hold signs that end sentences.
+_W = r"[\s/*#>;%-]+"
+_HOLDER = r"(?:(?!\n[ \t\r/*#>;%-]*\n)[\s\S]){1,200}?"
+_USE = "may be used to endorse or promote products derived from this software without specific prior written permission"
+HOLDERS = [
+    (
+        rf"neither{_W}the{_W}names?{_W}of{_W}(?!the{_W}copyright{_W}holder{_W}nor){_HOLDER}{_W}nor{_W}the{_W}names{_W}of{_W}(?:its|their|any|other|the){_W}contributors{_W}" + _USE.replace(" ", _W),
+        f"neither the name of the copyright holder nor the names of its contributors {_USE}",
+    ),
+    (rf"this{_W}software{_W}is{_W}provided{_W}by{_W}{_HOLDER}{_W}[^a-z0-9\s]*as{_W}is\b", 'this software is provided by the copyright holders and contributors "as is'),
+]
 
 
 def normal(sentence: str) -> str:
@@ -122,6 +156,8 @@ def pattern(rule: tuple[int, ...]) -> str:
 def _views(text: Column) -> Column:
     """The two views' sentences, not yet normalised: struct of lines and flow."""
     cut = lambda c: F.split(F.regexp_replace(c, STOP, "$1\n"), "\n")
+    for named, common in HOLDERS:
+        text = F.regexp_replace(text, named, common)
     text = F.regexp_replace(text, COLON, ".\n")
     flow = F.regexp_replace(F.regexp_replace(text, BLANK, ". "), JOIN, " ")
     return F.array(cut(text), cut(flow))
@@ -135,7 +171,7 @@ def licences(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> Dat
     columns are ignored.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(sorted((normal(s), i) for i, s in SENTENCES.items()), "sentence string, sid int")
+    known = spark.createDataFrame(sorted((normal(s), i) for i, s in (SENTENCES | MORE_SENTENCES).items()), "sentence string, sid int")
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     lower = F.lower("t")
     cue = F.lit(False)
@@ -148,7 +184,7 @@ def licences(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> Dat
     found = found.join(F.broadcast(known), "sentence").select("k", "h", "view", "pos", "sid")
     # equal rows meet here: each place counts once
     views = found.groupBy("k", "h", "view").agg(F.sort_array(F.collect_set(F.struct("pos", "sid")))["sid"].alias("ids"))
-    rules = F.array(*[F.struct(F.lit(l).alias("l"), F.lit(pattern(r)).alias("p")) for l, r in RULES])
+    rules = F.array(*[F.struct(F.lit(l).alias("l"), F.lit(pattern(r)).alias("p")) for l, r in [r for r in MORE_RULES if len(r[1]) > 3] + RULES + [r for r in MORE_RULES if len(r[1]) <= 3]])
     matched = F.aggregate(
         rules,
         F.struct(F.concat(F.lit("<"), F.array_join(F.col("ids").cast("array<string>"), "><"), F.lit(">")).alias("rest"), F.array().cast("array<string>").alias("got")),
