@@ -8,9 +8,9 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..sources.scratch import materialise, shared_folder
+from ..sources.scratch import Scratch, materialise, shared_folder
 
-__all__ = ["bounded_batches", "by_size", "materialise", "shared_folder", "sole"]
+__all__ = ["Scratch", "bounded_batches", "by_size", "materialise", "shared_folder", "sole", "unused"]
 
 #: Spark's limit of a batch that goes to Python, as it comes and as the text operators set it.
 _LIMIT, _DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
@@ -47,3 +47,11 @@ def by_size(texts: Iterable[str | None], most: int) -> Iterator[list[str]]:
         n += len(text)
     if held:
         yield held
+
+
+def unused(name: str, *taken: str) -> str:
+    """``name``, with underscores behind it while a column is called so."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name

@@ -5,7 +5,8 @@ phrases that occur in that text; the language that needs the fewest phrases, nor
 length of a phrase (log2 of its training length), wins. The automaton with its restarts at phrase ends is one
 table ``[state, letter] -> next state and whether a phrase begins``, so that many stretches of text are parsed in
 step by array look-ups; where a script has so many letters that this table grows large, its transitions are kept
-sorted and searched instead. Parsing restarts every STRETCH letters, alike for all languages.
+sorted and searched instead. A text is one parse, whatever its length: stretches are first parsed from the start state,
+then again from the state that the stretch before ended in, up to the letter where both parses are in one state.
 """
 
 from __future__ import annotations
@@ -18,10 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_size, sole
+from .common import bounded_batches, by_size, sole, unused
 
 UNKNOWN = "und"
+#: Letters parsed in step with those of other stretches; it has no effect on the result.
 STRETCH = 256
+#: Rounds in which all stretches whose start state changed are parsed again at once.
+TOGETHER = 4
+#: So few stretches are parsed one by one.
+FEW = 32
 CHUNK_CHARS = 1 << 19
 FOLDS = 5
 #: A language with more cells than this in its table (64 MB) is parsed by search.
@@ -120,12 +126,71 @@ class Sparse:
         for c, s in following[0].items():
             self.start[c] = s
 
-    def step(self, state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states, and whether a phrase begins."""
+    def step(self, state: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """2 * next state + (a phrase begins here)."""
         wanted = state * self.letters + row
         at = np.searchsorted(self.keys, wanted)
         held = self.keys[at] == wanted
-        return np.where(held, self.nexts[at], self.start[row]), (row != PAD) & (~held | (state == 0))
+        return 2 * np.where(held, self.nexts[at], self.start[row]) + ((row != PAD) & (~held | (state == 0)))
+
+
+class Dense:
+    """The parse table as an array over all states and letters; states are multiplied by the number of letters."""
+
+    def __init__(self, following: list[dict[int, int]], letters: int):
+        self.table = dense(following, letters)
+
+    def step(self, state: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return self.table.take(state + row)
+
+    def again(self, state: int, letters: list[int], trail: list[int]) -> list[int]:
+        """``trail`` of one lane from another start state, letter by letter."""
+        out = []
+        for c, old in zip(letters, trail, strict=True):
+            got = self.table.item(state + c)
+            out.append(got)
+            state = got >> 1
+            if state == old >> 1:
+                break
+        return out + trail[len(out) :]
+
+
+def parse_lanes(table: Dense | Sparse, steps: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each lane (column of ``steps``); a lane that ``follows`` goes on from the end of the one before."""
+    trail = np.empty(steps.shape, dtype=np.int64 if isinstance(table, Sparse) else np.int32)
+    state = np.zeros(steps.shape[1], dtype=trail.dtype)
+    for t, row in enumerate(steps):
+        trail[t] = table.step(state, row)
+        state = trail[t] >> 1
+    # from the true states: only as far as the parse differs from the one before, and in turn for what follows
+    begun = np.zeros(steps.shape[1], dtype=trail.dtype)
+    rounds = TOGETHER
+    while True:
+        came = np.zeros_like(begun)
+        came[1:] = np.where(follows[1:], trail[-1, :-1] >> 1, 0)
+        changed = came != begun
+        if not changed.any():
+            return (trail & 1).sum(axis=0)
+        if rounds:
+            rounds -= 1
+        else:
+            # parses that stay apart (one letter over and over): each stretch waits for the one before
+            changed[1:] &= ~changed[:-1]
+        lanes = np.flatnonzero(changed)
+        begun[lanes] = state = came[lanes]
+        if len(lanes) <= FEW and isinstance(table, Dense):
+            for lane in lanes.tolist():
+                trail[:, lane] = table.again(came.item(lane), steps[:, lane].tolist(), trail[:, lane].tolist())
+            continue
+        for t, row in enumerate(steps):
+            got = table.step(state, row[lanes])
+            apart = got >> 1 != trail[t, lanes] >> 1
+            trail[t, lanes] = got
+            if not apart.all():
+                lanes, got = lanes[apart], got[apart]
+                if not len(lanes):
+                    break
+            state = got >> 1
 
 
 class Parser:
@@ -138,7 +203,7 @@ class Parser:
         for i, c in enumerate(seen):
             self.code[ord(c)] = FIRST + i
         #: A table for each language, and its own numbers of the letters (None: the common ones) if there are many.
-        self.tables: list[np.ndarray | Sparse] = []
+        self.tables: list[Dense | Sparse] = []
         self.own: list[np.ndarray | None] = []
         self.weights = []
         for _, t in samples:
@@ -151,7 +216,7 @@ class Parser:
                 letters = FIRST + len(mine)
             following = automaton((codes if own is None else own[codes]).tolist())
             self.own.append(own)
-            self.tables.append(dense(following, letters) if len(following) * letters <= DENSE_CELLS else Sparse(following, letters))
+            self.tables.append((Dense if len(following) * letters <= DENSE_CELLS else Sparse)(following, letters))
             self.weights.append(math.log2(len(codes) + 2))
 
     def encode(self, text: str) -> np.ndarray:
@@ -175,22 +240,9 @@ class Parser:
         steps = np.ascontiguousarray(flat.reshape(-1, STRETCH).T).astype(np.int32)
         phrases = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
         of = np.repeat(np.arange(len(texts)), lanes)
+        follows = np.diff(of, prepend=-1) == 0
         for j, (table, own) in enumerate(zip(self.tables, self.own, strict=True)):
-            mine = steps if own is None else own.take(steps)
-            begun = np.zeros(steps.shape[1], dtype=np.int32)
-            if isinstance(table, Sparse):
-                state = np.zeros(steps.shape[1], dtype=np.int64)
-                for row in mine:
-                    state, begins = table.step(state, row)
-                    begun += begins
-                phrases[:, j] = np.bincount(of, weights=begun, minlength=len(texts))
-                continue
-            state = np.zeros(steps.shape[1], dtype=np.int32)
-            for row in mine:
-                state += row
-                got = table.take(state)
-                begun += got & 1
-                np.right_shift(got, 1, out=state)
+            begun = parse_lanes(table, steps if own is None else own.take(steps), follows)
             phrases[:, j] = np.bincount(of, weights=begun, minlength=len(texts))
         return letters, learned, phrases
 
@@ -210,11 +262,11 @@ class Parser:
         return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)], score, (letters > 0) & (2 * learned >= letters)
 
 
-def identify(docs: DataFrame, samples: dict[str, str], *, text: str = "text") -> DataFrame:
-    """``docs`` with the columns ``__lang`` (struct of lang_pred, score, evidence) added.
+def identify(docs: DataFrame, samples: dict[str, str], *, text: str = "text", into: str = "language") -> DataFrame:
+    """``docs`` with the column ``into`` (struct of lang_pred, score, evidence) added, which must not be there yet.
 
-    lang_pred is ``und`` for a null text, one without letters, or if nothing was learned; score is 1 - the winner's
-    cost over the runner-up's (0: tie); evidence tells whether at least half of the letters occur in training texts.
+    lang_pred is ``und`` for a null text, one without letters, or if nothing was learned; of languages with equal cost
+    the first by name wins. score is 1 - the winner's cost over the runner-up's (0: tie); evidence tells whether at least half of the letters occur in training texts.
     """
     bounded_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))
@@ -233,7 +285,7 @@ def identify(docs: DataFrame, samples: dict[str, str], *, text: str = "text") ->
             columns = [pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(found))]
             yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "evidence"])
 
-    return docs.withColumn("__lang", predict(F.col(text)))
+    return docs.select("*", predict(F.col(text)).alias(into))
 
 
 def language_id(docs: DataFrame, *, train_chars: int = 32_768, rows: int = 96, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
@@ -244,4 +296,6 @@ def language_id(docs: DataFrame, *, train_chars: int = 32_768, rows: int = 96, t
     """
     samples = learn_sample(docs, train_chars=train_chars, rows=rows, text=text, lang=lang, key=key)
     held_out = F.coalesce(F.crc32(F.col(key).cast("string")) % FOLDS == 0, F.lit(False)).alias("held_out")
-    return identify(docs.select(key, text), samples, text=text).select(key, held_out, "__lang.lang_pred", "__lang.score", "__lang.evidence")
+    into = unused("language", key, text)
+    named = identify(docs.select(key, text), samples, text=text, into=into)
+    return named.select(key, held_out, f"{into}.lang_pred", f"{into}.score", f"{into}.evidence")

@@ -60,7 +60,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("n_near")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +127,21 @@ WITH d AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))
 ), m AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw USING (n, g)
 ), h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1
-), t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY 1)
+), t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY 1), it AS (SELECT item_id, w, row_number() OVER () AS iid FROM (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0)
+), iw AS (SELECT iid, i, list_distinct(w[i:i + least(len(w), 10) - 1]) AS g FROM (SELECT iid, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM it)
+), ig AS (SELECT iid, i, greatest(1, ceil(len(g) * 0.9 - 1e-9)) AS r, unnest(g) AS word FROM iw
+), dc AS (SELECT doc_id, word, unnest(range(greatest(0, p // 10 - 1), p // 10 + 1)) AS cell FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d) WHERE word IN (SELECT word FROM ig)
+), nc AS (SELECT DISTINCT doc_id, cell, iid FROM (
+  SELECT doc_id, cell, iid, i, any_value(r) AS r, count(*) AS c FROM (SELECT DISTINCT doc_id, cell, word FROM dc) JOIN ig USING (word) GROUP BY 1, 2, 3, 4) WHERE c >= r
+), ie AS (SELECT DISTINCT iid, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM (SELECT iid, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM it)
+), ec AS (SELECT DISTINCT doc_id, iid, cell FROM (SELECT doc_id, iid, i - 1 AS lo, n, unnest(range(greatest(0, (i - 1) // 10 - 1), (i - 1) // 10 + 1)) AS cell FROM dw JOIN ie USING (n, g)) WHERE lo + n <= cell * 10 + 20
+), nn AS (SELECT doc_id, count(*) AS n_near FROM nc ANTI JOIN ec USING (doc_id, iid, cell) GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
 
+
 _OP6 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL

@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, by_size, sole
+from .common import bounded_batches, by_size, sole, unused
 from .tokens import SPACE, pretokens
 
-CACHE_ENTRIES = 250_000
+#: Parts kept: so many, and so many characters of them.
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 8 << 20
 PAIR_ENTRIES = 300_000
 CHUNK_CHARS = 1 << 20
 #: A character without a piece costs so much more than the worst piece (fixed by the library).
@@ -232,19 +233,21 @@ def model_is_bpe(path: str) -> bool:
 
 
 class Encoder:
-    """Encodes texts; keeps the parts used of late, at most 2 * CACHE_ENTRIES and one call's own."""
+    """Encodes texts; keeps the parts used of late, at most twice what CACHE_ENTRIES and CACHE_CHARS name and one call's own."""
 
     def __init__(self, path: str, bpe: bool | None = None):
         self.pieces = Pieces(path, bpe)
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.chars = 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [pretokens(x) for x in texts]
-        if len(self.recent) > CACHE_ENTRIES:
-            self.recent, self.older = {}, self.recent
+        if len(self.recent) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
+            self.recent, self.older, self.chars = {}, self.recent, 0
         recent, older, encode = self.recent, self.older.get, self.pieces.encode
         for part in set().union(*cut).difference(recent):
+            self.chars += len(part)
             recent[part] = older(part) or array("i", encode(SPACE + (part.replace(" ", SPACE) if " " in part else part))).tobytes()
         get = recent.__getitem__
         return [np.frombuffer(b"".join(map(get, x)), dtype=np.int32) for x in cut]
@@ -255,8 +258,8 @@ class Encoder:
         return out[1:] if out[:1] == " " else out
 
 
-def encode(docs: DataFrame, model: str, *, bpe: bool | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with the column ``__pieces`` (struct of ids array<int>, n_ids, round_trip) added.
+def encode(docs: DataFrame, model: str, *, bpe: bool | None = None, text: str = "text", into: str = "pieces") -> DataFrame:
+    """``docs`` with the column ``into`` (struct of ids array<int>, n_ids, round_trip) added, which must not be there yet.
 
     round_trip tells whether decoding the ids gives the text again (U+2581 counts as a space, as in the library).
     Null and empty texts have no ids and round_trip true. ``model`` is a file that every executor can open.
@@ -278,10 +281,10 @@ def encode(docs: DataFrame, model: str, *, bpe: bool | None = None, text: str =
                 found = pa.StructArray.from_arrays([lists, pa.array(np.diff(ends), pa.int64()), pa.array(whole, pa.bool_())], ["ids", "n_ids", "round_trip"])
                 same = batch.slice(at, len(part))
                 at += len(part)
-                yield pa.RecordBatch.from_arrays([*same.columns, found], [*same.schema.names, "__pieces"])
+                yield pa.RecordBatch.from_arrays([*same.columns, found], [*same.schema.names, into])
 
     pieces = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("n_ids", T.LongType()).add("round_trip", T.BooleanType())
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__pieces", pieces)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, pieces)]))
 
 
 def decode(encoded: DataFrame, model: str, *, bpe: bool | None = None, ids: str = "ids", into: str = "text") -> DataFrame:
@@ -298,4 +301,5 @@ def decode(encoded: DataFrame, model: str, *, bpe: bool | None = None, ids: str
 
 def encoded_documents(docs: DataFrame, model: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, ids, n_ids, round_trip; other columns are ignored."""
-    return encode(docs.select(key, text), model, text=text).select(key, "__pieces.*")
+    into = unused("pieces", key, text)
+    return encode(docs.select(key, text), model, text=text, into=into).select(key, f"{into}.*")

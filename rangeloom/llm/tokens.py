@@ -23,7 +23,8 @@ from .common import bounded_batches, by_size, sole
 SPACE = "▁"
 #: A pre-token: spaces and what follows them up to the next space, or trailing spaces.
 PRETOKEN = re.compile(r" *[^ ]+| +")
-CACHE_ENTRIES = 300_000
+#: Merged pre-tokens kept: so many, and so many characters of them.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 16 << 20
 CHUNK_CHARS = 1 << 20
 
 
@@ -66,21 +67,23 @@ def pretokens(text: str) -> list[str]:
 
 
 class Counter:
-    """Counts tokens of texts; holds at most CACHE_ENTRIES merged pre-tokens beside the proved ones."""
+    """Counts tokens of texts; holds at most CACHE_ENTRIES merged pre-tokens (of CACHE_CHARS characters) and one call's own beside the proved ones."""
 
     def __init__(self, path: str, whole: frozenset[str]):
         self.sp = processor(path)
         self.whole = dict.fromkeys(whole, 1)
         self.known = dict(self.whole)
+        self.chars = 0
 
     def count(self, texts: list[str]) -> list[int]:
         cut = [pretokens(x) for x in texts]
         rest = set().union(*cut).difference(self.known)
         if rest:
-            if len(self.known) + len(rest) > CACHE_ENTRIES + len(self.whole):
-                self.known = dict(self.whole)
+            if len(self.known) + len(rest) > CACHE_ENTRIES + len(self.whole) or self.chars > CACHE_CHARS:
+                self.known, self.chars = dict(self.whole), 0
                 rest = set().union(*cut).difference(self.known)
             rest = list(rest)
+            self.chars += sum(map(len, rest))
             # a pre-token that is only its own space comes as "", which the library would encode as nothing
             self.known.update(zip(rest, map(len, self.sp.encode(rest, num_threads=1)), strict=True))
             self.known[""] = 1

@@ -184,22 +184,26 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
 
 
-def contaminated(docs, items, n=10):
-    windows = {}
+def contaminated(docs, items, n=10, near=0.9):
+    windows, kept = {}, {}
     for k, t in items:
         w = words(t)
         for i in range(max(1, len(w) - n + 1) if w else 0):
-            windows.setdefault(tuple(w[i : i + n]), set()).add(k)
+            windows.setdefault(tuple(w[i : i + n]), set()).add((k, tuple(w)))
+            kept.setdefault((k, tuple(w)), []).append(set(w[i : i + n]))
     out = []
     for k, t in docs:
-        w, hit, found = words(t), set(), set()
+        w, hit, found, there = words(t), set(), set(), set()
         for size in {len(x) for x in windows}:
             for i in range(len(w) - size + 1):
                 if (got := windows.get(tuple(w[i : i + size]))) is not None:
                     hit |= set(range(i, i + size))
-                    found |= got
+                    found |= {item for item, _ in got}
+                    there |= {(item, c) for item in got for c in (i // n - 1, i // n) if c >= 0 and i + size <= c * n + 2 * n}
+        cells = [set(w[c : c + 2 * n]) for c in range(0, len(w), n)]
+        close = sum((item, c) not in there and any(len(x & held) >= max(1, math.ceil(near * len(x) - 1e-9)) for x in own) for c, held in enumerate(cells) for item, own in kept.items())
         joined = ",".join(sorted(str(x) for x in found))
-        out.append((k, len(w), len(hit), len(found), hashlib.sha256(joined.encode()).hexdigest(), bool(hit)))
+        out.append((k, len(w), len(hit), len(found), hashlib.sha256(joined.encode()).hexdigest(), bool(hit), close))
     return sorted(out, key=str)
 
 
@@ -222,10 +226,13 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("item", F.lit("x"))
     want = contaminated(docs, items)
     assert sum(r[5] for r in want) > 40
-    got = decontam.contamination(df, bench).drop("n_near")
+    assert sum(r[6] for r in want) > 40
+    got = decontam.contamination(df, bench)
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)  # everything by shuffle
-    assert sorted((tuple(r) for r in decontam.contamination(df, bench).drop("n_near").collect()), key=str) == want
+    only = decontam.contamination(df, bench, near=None).drop("n_near").collect()
+    assert sorted((tuple(r) for r in only), key=str) == [r[:6] for r in want]
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)  # everything by shuffle
+    assert sorted((tuple(r) for r in decontam.contamination(df, bench).collect()), key=str) == want
 
 
 def test_decontamination_of_odd_tables(spark):

@@ -43,7 +43,7 @@ def test_stages_on_odd_documents(spark, tmp_path):
         (3, None, "en", None, None), (4, "12345 --- 678", None, "b", 1), (None, "a text without an id but a mail: joe@example.com", "en", None, None), (5, f"before {item.upper()} behind", "en", "b", 7), (None, item, "en", "b", 2),
         (6, "short", "en", "c", 3), (7, "word " * 50_000, "en", "c", 250_000),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("__extra", F.lit(1)).withColumn("kept", F.lit("clash")).withColumn("h", F.lit(2)).withColumn("n_pieces", F.lit("clash"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("__extra", F.lit(1)).withColumn("kept", F.lit("clash")).withColumn("h", F.lit(2)).withColumn("n_pieces", F.lit("clash")).withColumn("language", F.lit("clash")).withColumn("pieces", F.lit("clash"))
     df.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
@@ -66,10 +66,10 @@ def test_stages_keep_the_columns_of_documents(spark):
 def test_language_stage_keeps_text_of_any_learned_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     samples = langid.learn_sample(docs)
-    gone = langid.identify(docs, samples).where(~F.col("__lang.evidence")).select("text").collect()
+    gone = langid.identify(docs, samples).where(~F.col("language.evidence")).select("text").collect()
     assert not any(any(map(str.isalpha, r.text or "")) for r in gone)
     other = spark.createDataFrame([(1, "汉语文本 a"), (2, "mostly known 汉"), (3, "a"), (4, "1 b 2")], "doc_id long, text string")
-    assert [r.doc_id for r in langid.identify(other, samples).where("__lang.evidence").orderBy("doc_id").collect()] == [2, 3, 4]
+    assert [r.doc_id for r in langid.identify(other, samples).where("language.evidence").orderBy("doc_id").collect()] == [2, 3, 4]
     unlabelled = other.withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.language(spark, unlabelled, SMALL).count() == 4
     assert json.dumps(samples) == json.dumps(langid.learn_sample(docs.repartition(7)))

@@ -52,8 +52,9 @@ def test_whole_tokens_are_proved(library):
     assert len(whole) > 10_000 and all(len(library.encode(w)) == 1 for w in random.Random(1).sample(sorted(whole), 500))
 
 
-def test_token_cache_turns_over(library, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 5)
+@pytest.mark.parametrize("name", ["CACHE_ENTRIES", "CACHE_CHARS"])
+def test_token_cache_turns_over(library, monkeypatch, name):
+    monkeypatch.setattr(tokens, name, 5)
     counter = tokens.Counter(tokenizer(), tokens.prove_whole(tokenizer()))
     for text in ("qzx qzy qzz", "qza qzb  qzc qzd", "qzx qze qzf qzg qzh qzi qzj"):
         assert counter.count([text]) == [len(library.encode(text))]
@@ -105,7 +106,7 @@ def test_encoding_rows(spark, odd, library):
     assert {(r.doc_id, r.text) for r in back} == {(k, (t or "").replace("▁", " ")) for k, t, _ in ROWS}
     assert sentencepieces.encoded_documents(odd.limit(0), tokenizer()).collect() == []
     whole = sentencepieces.encode(odd, tokenizer())
-    assert whole.columns == [*odd.columns, "__pieces"] and whole.count() == len(ROWS)
+    assert whole.columns == [*odd.columns, "pieces"] and whole.count() == len(ROWS)
 
 
 def test_language_is_found_on_the_held_out_fold(spark):
@@ -172,8 +173,9 @@ def test_parse_equals_greedy_longest_matches():
     word = lambda s, k: "".join(rng.choices(s, k=k))
     samples = {"x": " ".join(word("abcde", 5) for _ in range(60)), "y": " ".join(word("cdefg", 5) for _ in range(50))}
     parser = langid.Parser(tuple(sorted(samples.items())))
-    for _ in range(200):
-        text = word("abcdefgh ", rng.randint(1, 200)).strip() or "a"
+    # also far longer than a stretch: prose, a training text twice over, and letters that stay out of step
+    long = [word("abcdefgh ", n).strip() for n in (2000, 3000, 5000)] + [samples["x"] * 4, samples["y"] + samples["x"] * 3, "a" * 12_000, "ab" * 2000, "a " * 3000 + "bcd"]
+    for text in [word("abcdefgh ", rng.randint(1, 200)).strip() or "a" for _ in range(200)] + long:
         flat = re.sub(" +", " ", text)
         letters, learned, got = parser.parse([text])
         assert letters[0] == sum(map(str.isalpha, text)) and learned[0] == letters[0] - text.count("h")
@@ -185,6 +187,7 @@ def test_many_letters_are_all_learned(monkeypatch):
     word = lambda a, n, k: "".join(chr(a + rng.randrange(n)) for _ in range(k))
     samples = {"zh": word(0x4E00, 900, 3000), "ko": word(0xAC00, 700, 3000), "en": " ".join(word(97, 20, 5) for _ in range(300))}
     texts = [samples[l][a : a + 40].strip() + word(0x4E00, 950, 9) + x for l in samples for a in range(0, 900, 100) for x in ("", "q", "あ")]
+    texts += [samples["zh"] * 2, "国" * 3000]
     for cells in (langid.DENSE_CELLS, 0):
         monkeypatch.setattr(langid, "DENSE_CELLS", cells)
         parser = langid.Parser(tuple(sorted(samples.items())))
