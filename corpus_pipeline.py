@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import shared_folder
+from rangeloom.llm.common import Scratch, shared_folder, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     samples = learn_sample(docs)
     if not samples:
         return docs
-    named = identify(docs, samples)
-    return named.where(F.col("__lang.lang_pred") != UNKNOWN).select(*docs.columns)
+    into = unused("language", *docs.columns)
+    return identify(docs, samples, into=into).where(F.col(f"{into}.lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     gone = classes(docs, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     # rows that repeat a document meet on its doc_id anyway
-    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").withColumn("__h", F.xxhash64("text"))
-    named = named.dropDuplicates(["doc_id", "__h"]).drop("__h")
+    h = unused("h", *docs.columns)
+    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").withColumn(h, F.xxhash64("text"))
+    named = named.dropDuplicates(["doc_id", h]).drop(h)
     return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
@@ -40,8 +41,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from rangeloom.llm.decontam import matches
 
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = matches(docs.select("doc_id", "text"), items).where("exact").select(F.col("doc_id").alias("__k"), F.col("h").alias("__h")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__k")) & (F.xxhash64("text") == F.col("__h"))
+    k, h = unused("k", *docs.columns), unused("h", *docs.columns)
+    hit = matches(docs.select("doc_id", "text"), items, near=None).select(F.col("doc_id").alias(k), F.col("h").alias(h)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(k)) & (F.xxhash64("text") == F.col(h))
     return docs.join(hit, same, "left_anti").select(*docs.columns)
 
 
@@ -61,8 +63,9 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from rangeloom.llm.sentencepieces import encode
 
     own = [c for c in docs.columns if c not in ("piece_ids", "n_pieces", "round_trip")]
-    done = encode(docs.select(*own), tokenizer())
-    return done.select(*own, F.col("__pieces.ids").alias("piece_ids"), F.col("__pieces.n_ids").alias("n_pieces"), "__pieces.round_trip")
+    into = unused("pieces", *own)
+    done = encode(docs.select(*own), tokenizer(), into=into)
+    return done.select(*own, F.col(f"{into}.ids").alias("piece_ids"), F.col(f"{into}.n_ids").alias("n_pieces"), f"{into}.round_trip")
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -81,8 +84,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each result is written as Parquet and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         path = f"{shared_folder(spark)}/pipeline-{i}-{name}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
+        with Scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
