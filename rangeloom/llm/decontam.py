@@ -26,7 +26,7 @@ from .common import Scratch, materialise
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ENDS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
 #: A table is broadcast if its rows, of ROW_BYTES and their strings' bytes each, were counted to take no more.
-BROADCAST_BYTES, ROW_BYTES = 48 << 20, 64
+BROADCAST_BYTES, ROW_BYTES = 96 << 20, 128
 #: Otherwise the rows of a frequent term are dealt to so many tasks.
 SALTS = 32
 #: The windows of a unit start within so many window lengths.
