@@ -1,18 +1,22 @@
 """Secrets by assignment-aware lexing.
 
-The lexer stops at each assignment sign (``=`` or ``:``) and reads the name on its left and the literal or name on
-its right. Literals given to sensitive names are secrets, quoted or as the last word of a line; a name given a quoted
-literal is a constant, and where it is given to a sensitive name, also through other names and from below, the
-constant's literals are secrets. Access keys and long hexadecimal literals are read as literals wherever they stand.
+The lexer reads assignments in source and configuration syntax: ``name = ...``, ``name: ...`` (also quoted, subscripted
+or typed names), ``name => ...``, XML elements, and XML ``name``/``key`` with ``value`` attributes. On the right it reads
+string literals with escapes, also concatenated ones, names and references such as ``${NAME}``, and unquoted values as the
+last word of their line. Literals given to sensitive names are secrets. A name given to a sensitive name is followed to
+what it was last given before (or, if nothing, first behind), and so on: the literals at the end are secrets, dead ones
+aren't. Access keys and long hexadecimal literals are read as literals wherever they stand.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,8 +32,17 @@ KINDS = BASE + MORE
 SIGN = re.compile(r"[:=]")
 WORDS = re.compile(r"(?:password|passwd|secret|token|api_?key)\Z", re.IGNORECASE | re.ASCII)
 VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
-QUOTED = re.compile(r"""(["'])((?:[^"'\\\n]|\\.)+)\1""")
-NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)(?:\.[A-Za-z_][A-Za-z0-9_]*)*")
+#: A name of any length, the rest of a quoted or subscripted or typed one, and the sign.
+ASSIGN = re.compile(r"""(?<![\w.$-])([\w.$-]++)["']?\]?(?:[ \t]*+:[ \t]*+[A-Za-z_][\w.\[\]]*+(?=[ \t]*+=))?[ \t]*+(?:=>|:=|[:=](?![:=]))[ \t]*+\(?""", re.ASCII)
+ELEMENT = re.compile(r"<([A-Za-z][\w.:-]*+)(?:\s[^<>]*+)?>([^<>\n]++)</", re.ASCII)
+TAG = re.compile(r"<[A-Za-z][\w.:-]*+\s([^<>]*+)>", re.ASCII)
+ATTRIBUTE = re.compile(r"""([A-Za-z][\w.:-]*+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')""", re.ASCII)
+STRING = re.compile(r"""[rbfuRBFU]{0,2}+(?:"((?:[^"\\\n]|\\.)++)"|'((?:[^'\\\n]|\\.)++)'|`((?:[^`\\\n]|\\.)++)`)""")
+JOINED = re.compile(r"[ \t]*+(?:(?:\+|\.(?=[ \t]*[\"'$])|\|\||\\)[ \t]*+(?:\r?\n[ \t]*+)?|(?=[\"']))")
+#: Inside parentheses literals may also stand on lines of their own.
+WITHIN = re.compile(r"\s*+(?:\+\s*+)?(?=[\"'])")
+NAME = re.compile(r"\$?([A-Za-z_][A-Za-z0-9_]*+(?:(?:\.|->)[A-Za-z_][A-Za-z0-9_]*+)*+)(?![\w(\[])", re.ASCII)
+REFERENCE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_.]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)", re.ASCII)
 #: An unquoted value: the last word of its line, but for a comment.
 BARE = re.compile(r"""[^\s"'`(\[{=>~][^\s]*""")
 BARE_END = re.compile(r"[ \t]*(?:[\r\n]|\Z)|[ \t]+(?:#|//|;)")
@@ -37,7 +50,6 @@ BARE_END = re.compile(r"[ \t]*(?:[\r\n]|\Z)|[ \t]+(?:#|//|;)")
 CODE = re.compile(r"[A-Za-z_.]+|[A-Za-z_][A-Za-z0-9_.]*[(\[].*", re.DOTALL)
 #: What stands for a value given elsewhere.
 PLACEHOLDER = re.compile(r"\$\{.*\}|\$\(.*\)|\$[A-Z_][A-Z0-9_]*|\{\{.*\}\}|\{[A-Za-z_][A-Za-z0-9_.]*\}|<.*>|%[A-Za-z_]+%")
-NAME_END = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]{0,63}\Z", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -63,73 +75,36 @@ def varied(literal: str) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(literal).values()) >= LEAST_BITS
 
 
-def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
-    """Spans (start, end; code points) of each kind, in order of their starts."""
+@dataclass(slots=True)
+class Given:
+    """What a name is given at a place: spans of literals, their joined text, and names."""
+
+    name: str
+    spans: list[tuple[int, int]]
+    value: str
+    names: list[str]
+
+
+def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
+    """Spans of the base kinds, and under ``""`` the values of ``assign``."""
     out: dict[str, list[tuple[int, int]]] = {}
-    if not text:
-        return out
-    behind = bare_behind = 0
-    literals: dict[str, list[tuple[int, int]]] = {}
-    aliases: dict[str, set[str]] = {}
-    met: set[str] = set()
-    used: set[tuple[int, int]] = set()
-    size = len(text)
+    behind, size = 0, len(text)
     for sign in SIGN.finditer(text):
-        p = sign.start()
-        left = p
+        left, right = sign.start(), sign.end()
         while left and text[left - 1] == " ":
             left -= 1
         if left and text[left - 1] in "\"'":
             left -= 1
-        right = p + 1
+        target = WORDS.search(text, max(0, left - 8), left)
+        if not target or target.start() < behind:
+            continue
         while right < size and text[right] == " ":
             right += 1
-        target = WORDS.search(text, max(0, left - 8), left)
-        taken = False
-        if target and target.start() >= behind and (value := VALUE.match(text, right + (right < size and text[right] in "\"'"))):
+        if value := VALUE.match(text, right + (right < size and text[right] in "\"'")):
             behind = value.end()
             if value.end() - value.start() >= 6:
                 out.setdefault("assign", []).append((target.start(), value.end()))
-                used.add(value.span())
-                taken = True
-        name = NAME_END.search(text, max(0, left - 64), left)
-        if not name:
-            continue
-        sensitive = target is not None or name_points(name[0]) >= SENSITIVE
-        if quoted := QUOTED.match(text, right):
-            span = quoted.span(2)
-            if varied(quoted[2]):
-                literals.setdefault(name[0], []).append(span)
-                if sensitive and span not in used:
-                    used.add(span)
-                    out.setdefault("literal", []).append(span)
-            continue
-        if source := NAME.match(text, right):
-            aliases.setdefault(name[0], set()).update((source[0], source[1]))
-            if sensitive:
-                met.update((source[0], source[1]))
-        # a value that was read already is no place of further ones
-        if sensitive and not taken and right >= bare_behind and (bare := BARE.match(text, right)):
-            bare_behind = bare.end()
-            value = bare[0].rstrip(",;")
-            span = (right, right + len(value))
-            if span not in used and BARE_END.match(text, bare_behind) and not CODE.fullmatch(value) and varied(value):
-                used.add(span)
-                out.setdefault("literal", []).append(span)
-    # wherever a constant stands, and through however many names
-    wanted = list(met)
-    while wanted:
-        one = wanted.pop()
-        for span in literals.get(one, ()):
-            if span not in used:
-                used.add(span)
-                out.setdefault("constant", []).append(span)
-        for other in aliases.get(one, ()):
-            if other not in met:
-                met.add(other)
-                wanted.append(other)
-    if "constant" in out:
-        out["constant"].sort()
+                out.setdefault("", []).append(value.span())
     if found := [m.span() for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]:
         out["access"] = found
     if found := [m.span() for m in HEX.finditer(text)]:
@@ -137,6 +112,101 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def expression(text: str, at: int, joining: re.Pattern) -> tuple[list[tuple[int, int]], str, list[str], int]:
+    """Literals and names that are joined from ``at`` on: spans, text, names and where they end."""
+    spans: list[tuple[int, int]] = []
+    names: list[str] = []
+    value = ""
+    while True:
+        if quoted := STRING.match(text, at):
+            span = quoted.span(quoted.lastindex)
+            held = quoted[quoted.lastindex]
+            if reference := REFERENCE.fullmatch(held):
+                names.append(reference[1] or reference[2])
+            else:
+                spans.append(span)
+                value += held
+            at = quoted.end()
+        elif name := NAME.match(text, at):
+            names.append(name[1].replace("->", "."))
+            at = name.end()
+        else:
+            return spans, value, names, at
+        if not (joined := joining.match(text, at)) or not (quoted or joined.end() > at):
+            return spans, value, names, at
+        at = joined.end()
+
+
+def assignments(text: str) -> Iterator[Given]:
+    """What names are given, in the order of the text; markup comes behind."""
+    bare_behind = 0
+    for m in ASSIGN.finditer(text):
+        right = m.end()
+        spans, value, names, _ = expression(text, right, WITHIN if text[right - 1] == "(" else JOINED)
+        if not spans and right >= bare_behind and (bare := BARE.match(text, right)):
+            # a value that was read already is no place of further ones
+            bare_behind = bare.end()
+            word = bare[0].rstrip(",;")
+            reference = REFERENCE.fullmatch(word)
+            if reference:
+                names = [reference[1] or reference[2]]
+            elif BARE_END.match(text, bare_behind) and not CODE.fullmatch(word):
+                spans, value, names = [(right, right + len(word))], word, []
+        yield Given(m[1].lstrip("$"), spans, value, names)
+    if "<" in text and ">" in text:
+        marked = [(m[1], m.start(2), m[2]) for m in ELEMENT.finditer(text)]
+        for tag in TAG.finditer(text):
+            held = {m[1].lower(): (tag.start(1) + m.start(m.lastindex), m[m.lastindex]) for m in ATTRIBUTE.finditer(tag[1])}
+            name = held.get("key") or held.get("name")
+            if name and "value" in held:
+                marked.append((name[1], *held["value"]))
+        for name, at, held_value in marked:
+            word = held_value.strip()
+            at += len(held_value) - len(held_value.lstrip())
+            reference = REFERENCE.fullmatch(word)
+            literal = word and not reference and not CODE.fullmatch(word)
+            yield Given(name, [(at, at + len(word))] if literal else [], word if literal else "", [reference[1] or reference[2]] if reference else [])
+
+
+def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
+    """Spans (start, end; code points) of each kind, in order of their starts."""
+    if not text:
+        return {}
+    out = base_spans(text)
+    used = set(out.pop("", ()))
+    given = list(assignments(text))
+    by_name: dict[str, list[int]] = {}
+    for i, g in enumerate(given):
+        by_name.setdefault(g.name, []).append(i)
+        if "." in g.name:
+            by_name.setdefault(g.name.rsplit(".", 1)[1], []).append(i)
+
+    def add(kind: str, g: Given) -> None:
+        if varied(g.value):
+            fresh = [x for x in g.spans if x not in used]
+            used.update(fresh)
+            out.setdefault(kind, []).extend(fresh)
+
+    wanted = [i for i, g in enumerate(given) if name_points(g.name) >= SENSITIVE or WORDS.search(g.name)]
+    for i in wanted:
+        add("literal", given[i])
+    # each place is followed once
+    met = set(wanted)
+    while wanted:
+        i = wanted.pop()
+        for name in given[i].names:
+            places = by_name.get(name) or by_name.get(name.rsplit(".", 1)[-1])
+            if not places:
+                continue
+            before = bisect.bisect_left(places, i)
+            source = places[before - 1] if before else next((p for p in places if p != i), i)
+            if source not in met:
+                met.add(source)
+                wanted.append(source)
+                add("constant", given[source])
+    return {k: sorted(v) for k, v in out.items() if v}
+
+
 def written(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> str:
     flat = sorted((s, i, e) for i, k in enumerate(kinds) for s, e in spans.get(k, ()))
     return ",".join(f"{kinds[i]}:{s}:{e}" for s, i, e in flat)
@@ -145,7 +215,8 @@ def written(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) ->
 def secrets(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_assign, n_access, n_hex, base_sha256, spans, n_more (spans of other kinds).
 
-    Null and empty texts have no spans; repeated rows are read each; other columns are ignored.
+    Null and empty texts have no spans; repeated rows are read each; other columns are ignored. A text is read whole,
+    in time and memory that grow in proportion to its length.
     """
 
     bounded_batches(docs)

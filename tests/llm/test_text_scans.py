@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -325,3 +326,58 @@ def test_secret_rows(spark, odd):
     want = {r.doc_id: secret(r.text or "") for r in docs.select("doc_id", "text").collect()}
     for r in secret_scan.secrets(docs).collect():
         assert [r.n_assign, r.n_access, r.n_hex] == [len(want[r.doc_id].get(k, ())) for k in secret_scan.BASE] and r.n_more == 0
+
+
+#: Source and configuration, and the secrets in them beyond the base.
+SYNTAX = [
+    ('password = "p@ss!w0rd#1x9"', ["p@ss!w0rd#1x9"]), ("db_pwd: s3cr3tV4lue99", ["s3cr3tV4lue99"]), ("DB_PWD=s3cr3tV4lue99", ["s3cr3tV4lue99"]), ('db_pwd = "abc\'k9X2mQ77"', ["abc'k9X2mQ77"]),
+    ('a = "k9X2mQ77zLp0"\nb = a\npassword = b', ["k9X2mQ77zLp0"]), ('db_pwd = "k9X2" + "mQ77zLp0"', ["k9X2", "mQ77zLp0"]), ('db_pwd = ("k9X2"\n   "mQ77zLp0")', ["k9X2", "mQ77zLp0"]),
+    ("$pwd = 'k9X2' . 'mQ77zLp0';", ["k9X2", "mQ77zLp0"]), ("<db_pwd>k9X2mQ77zLp0</db_pwd>", ["k9X2mQ77zLp0"]), ('<add key="db_pwd" value="k9X2mQ77zLp0"/>', ["k9X2mQ77zLp0"]),
+    ("<property name='client_credential' value='k9X2mQ77zLp0'/>", ["k9X2mQ77zLp0"]), ('a = "k9X2mQ77zLp0"; a = 5; client_credential = a', []), ('a = 5; a = "k9X2mQ77zLp0"; client_credential = a', ["k9X2mQ77zLp0"]),
+    ('a = "k9X2mQ77zLp0"\nclient_credential = a\na = "zzX81kd92LL"', ["k9X2mQ77zLp0"]), ('config["db_pwd"] = "k9X2mQ77zLp0"', ["k9X2mQ77zLp0"]), ('{"dbPwd": "k9X2mQ77zLp0", "name": "k9X2mQ77zLp1"}', ["k9X2mQ77zLp0"]),
+    ('db_pwd: str = "k9X2mQ77zLp0"', ["k9X2mQ77zLp0"]), ("A=k9X2mQ77zLp0\nexport DB_PWD=$A", ["k9X2mQ77zLp0"]), ('A=k9X2mQ77zLp0\ndb_pwd: "${A}"', ["k9X2mQ77zLp0"]), ('self.k = "k9X2mQ77zLp0"\nauth_pwd = self.k', ["k9X2mQ77zLp0"]),
+    ('db_pwd = "a\\"k9X2mQ77"', ['a\\"k9X2mQ77']), ("db_pwd = getenv('DB_PWD1')", []), ("'db_pwd' => 'k9X2mQ77zLp0'", ["k9X2mQ77zLp0"]), ("x" * 300 + "_pwd = 'k9X2mQ77zLp0'", ["k9X2mQ77zLp0"]),
+    ("password == 'k9X2mQ77zLp0'", []), ("prefix='zzTop123456'\ndb_pwd = prefix + 'k9X2mQ77zLp0'", ["k9X2mQ77zLp0", "zzTop123456"]), ("db_pwd = k9X2mQ77zLp0 # changed 2024", ["k9X2mQ77zLp0"]),
+    ("[db]\npwd = k9X2mQ77zLp0\nhost = k9X2mQ77zLp1", ["k9X2mQ77zLp0"]), ("b = c; c = b; db_pwd = b", []),
+]
+
+
+def test_syntax_is_read(spark):
+    for text, want in SYNTAX:
+        got = secret_scan.find(text)
+        assert sorted(text[a:b] for k in secret_scan.MORE for a, b in got.get(k, ())) == sorted(want), text
+        assert {k: v for k, v in got.items() if k in secret_scan.BASE} == secret(text)
+    rows = secret_scan.secrets(spark.createDataFrame(list(enumerate(t for t, _ in SYNTAX)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_more for r in rows} == {i: len(w) for i, (_, w) in enumerate(SYNTAX)}
+
+
+def test_constants_follow_the_last_assignment():
+    """Random programs of one-letter names against an interpreter of them, line by line."""
+    rng = random.Random(9)
+    for _ in range(400):
+        lines, held, want = [], {}, set()
+        for i in range(rng.randint(1, 14)):
+            name, kind = rng.choice("abcd"), rng.random()
+            if kind < 0.35:
+                held[name] = f"zX81kd92L{i}"
+                lines.append(f'{name} = "{held[name]}"')
+            elif kind < 0.5:
+                held[name] = None
+                lines.append(f"{name} = 5")
+            elif kind < 0.75:
+                other = rng.choice([x for x in held] or ["z"])
+                held[name] = held.get(other)
+                lines.append(f"{name} = {other}")
+            else:
+                other = rng.choice([x for x in held] or ["z"])
+                lines.append(f"db_credential = {other}")
+                want |= {held[other]} if held.get(other) else set()
+        text = "\n".join(lines)
+        assert {text[a:b] for a, b in secret_scan.find(text).get("constant", ())} == want, text
+
+
+def test_lexing_of_long_runs_is_quick():
+    for text in ("pwd = 'ab'" + " " * 200_000 + "x", "<a b='c' " * 100_000, "<x a='b'>" * 100_000, "pwd = " + "'ab' + " * 50_000, "a = b + " * 50_000, "<a>x" * 100_000, "a : b" * 100_000, "pwd:" + " " * 200_000 + "=x", "pwd = (" * 100_000):
+        began = time.perf_counter()
+        secret_scan.find(text)
+        assert time.perf_counter() - began < 20, text[:20]
