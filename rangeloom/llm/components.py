@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch, materialise
 
 #: Edges, and vertices held, in a task of the local contraction.
 LOCAL = 100_000
@@ -53,6 +53,11 @@ def _contracted(edges: DataFrame, rows: int) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id that has an edge to another in ``edges`` (a, b: long); component is the smallest id
     reachable. Self-links and repeated or reversed edges are allowed."""
+    with Scratch(edges.sparkSession) as scratch:
+        return scratch.result(_components(edges), "components")
+
+
+def _components(edges: DataFrame) -> DataFrame:
     given = materialise(edges.where(F.col("a") != F.col("b")).select("a", "b"), "edges")
     rows = given.count()
     current = _contracted(given, rows)

@@ -80,6 +80,31 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_templated_texts_chain_without_meeting_all(spark, monkeypatch):
+    """A chain of texts, each like the next: one wide neighbourhood of several components."""
+    rng = random.Random(12)
+    words_ = [f"t{i}" for i in range(100)]
+    rows = []
+    for k in range(160):
+        for at in rng.sample(range(100), 1 if k % 7 else 6):
+            words_[at] = f"n{k}-{at}"
+        rows.append((k, " ".join(words_)))
+    rng.shuffle(rows)
+    want = near(rows, 80)
+    assert 5 < len({v[1] for v in want.values()}) < 150
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 12)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
+    assert got == want
+
+
+def test_keys_that_repeat_with_other_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    one, two = " ".join(base), " ".join([*base[:30], "x", *base[31:]])
+    rows = [("k1", one), ("k2", two), ("k1", "an entirely different text that stands under a key of another one"), ("k3", "an entirely different text that stands under a key of another one")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), percent=80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [("k1", 8, "k1", True), ("k1", 56, "k1", True), ("k2", 56, "k1", False), ("k3", 8, "k1", False)]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     kind = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], kind)).collect() == []
@@ -145,7 +170,7 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     rows += [(k + 45, [float("nan")] * 16, 1), (k + 46, [*same[:15], float("inf")], 1), (k + 47, [*same[:15], None], 1), (k + 48, same[:8], 1), (k + 49, [-x for x in same], 1), (k + 50, [x * 1e300 for x in same], 1)]
     want = brute_vectors([r for r in rows if r[0] != k + 50], 0.98)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit("x")).withColumn("v", F.lit(0))
-    for name, value in (("BLOCK", 32), ("LIST_SIZE", 40), ("FIT_ROWS", 200)):
+    for name, value in (("BLOCK", 32), ("LIST", 40), ("FIT_ROWS", 200), ("MAX_LISTS", 3), ("CELL", 10), ("ROWS", 7)):
         monkeypatch.setattr(vectors, name, value)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df.where(F.col("vec_id") != k + 50)).collect()}
     assert got == want
@@ -167,7 +192,7 @@ def test_index_measures(spark):
     x = rng.normal(size=(3000, 24))
     x[::2] = x[1::2] + rng.normal(size=(1500, 24)) * 0.05
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = vectors.Index(x[:1000], 12)
+    index = vectors.Index(x[:1000], 4, 3)
     own, codes, errors = index.place(x)
     reach = math.sqrt(2 - 2 * 0.98) + 1e-9
     probes = index.probes(x, own, reach)
@@ -180,6 +205,28 @@ def test_index_measures(spark):
         assert all((p, q) in found for p, q in zip(*np.nonzero(x[:400] @ x.T >= 0.98), strict=True) if own[q] == c)
 
 
+def test_work_of_the_index_follows_the_input(spark):
+    """On clustered vectors, what queries meet in the cells they probe grows nearly as the number of vectors."""
+    rng = np.random.default_rng(5)
+    work, sizes = [], (3000, 12_000, 48_000)
+    for n in sizes:
+        x = np.repeat(rng.normal(size=(n // 30, 32)), 30, axis=0) + rng.normal(size=(n, 32)) * 0.3
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        index = vectors.Index(x[rng.permutation(n)[: vectors.FIT_ROWS]], -(-n // vectors.LIST))
+        own = index.place(x)[0]
+        held = np.bincount(own, minlength=len(index.centres) * len(index.cells))
+        asked = rng.permutation(n)[:1000]
+        work.append(np.mean([held[p].sum() for p in index.probes(x[asked], own[asked], math.sqrt(2 - 2 * 0.98))]))
+    assert work[2] < work[0] * 4, work  # candidates of a query; 16 if all met all
+    assert work[2] < 0.1 * sizes[2]
+
+
+def test_keys_of_other_types(spark):
+    rows = [("b", [1.0, 2.0], 1), ("a", [1.0, 2.001], 1), ("c", [2.0, 1.0], 1), (None, [1.0, 2.0], 1)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id or "", r.n_links, r.component_id or "", r.kept) for r in got) == [("", 0, "", True), ("a", 1, "a", True), ("b", 1, "a", False), ("c", 0, "c", True)]
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
 
