@@ -110,6 +110,34 @@ MORE_SENTENCES: dict[int, str] = {
     227: "Apache License", 228: "Version 2.0, January 2004", 229: "Eclipse Public License - v 1.0", 230: "Eclipse Public License - v 2.0",
     231: "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     232: "The Artistic License 2.0", 233: "Mozilla Public License Version 2.0",
+    240: "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    241: "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    242: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    243: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    244: "This software is provided 'as-is', without any express or implied warranty.",
+    245: "In no event will the authors be held liable for any damages arising from the use of this software.",
+    246: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    247: "The origin of this software must not be misrepresented;", 248: "you must not claim that you wrote the original software.",
+    249: "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+    250: "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    251: "This notice may not be removed or altered from any source distribution.",
+    252: "Boost Software License - Version 1.0 - August 17th, 2003",
+    253: "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    254: "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    255: "Distributed under the Boost Software License, Version 1.0.",
+    256: "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    257: "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
+    258: "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", 259: "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    260: "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    261: "IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;",
+    262: "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    263: "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions:",
+    264: "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    265: "The licenses for most software are designed to take away your freedom to share and change it.",
+    266: "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    267: "By contrast, our General Public Licenses are intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.",
+    268: "SPDX-License-Identifier: Zlib", 269: "SPDX-License-Identifier: BSL-1.0", 270: "SPDX-License-Identifier: 0BSD", 271: "SPDX-License-Identifier: MIT-0", 272: "SPDX-License-Identifier: WTFPL", 273: "SPDX-License-Identifier: BSD-4-Clause",
+    274: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
     234: "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.",
 }
 MORE_RULES: list[tuple[str, tuple[int, ...]]] = [
@@ -117,7 +145,11 @@ MORE_RULES: list[tuple[str, tuple[int, ...]]] = [
     ("LGPL-2.1", (204,)), ("LGPL-2.1", (205,)), ("LGPL-3.0", (206,)), ("AGPL-3.0", (207,)), ("EPL-1.0", (208,)), ("EPL-2.0", (209,)), ("Artistic-2.0", (210,)),
     ("GPL-3.0", (220, 223)), ("GPL-2.0", (220, 224)), ("LGPL-2.1", (221, 225)), ("LGPL-3.0", (221, 223)), ("AGPL-3.0", (222, 226)),
     ("Apache-2.0", (227, 228)), ("EPL-1.0", (229,)), ("EPL-2.0", (230,)), ("EPL-2.0", (231,)), ("Artistic-2.0", (232,)), ("MPL-2.0", (233,)),
-    ("BSD-3-Clause", (70, 71, 72, 234)),
+    ("BSD-3-Clause", (70, 71, 72, 234)), ("BSD-4-Clause", (70, 71, 72, 260, 73)), ("BSD-4-Clause", (70, 71, 72, 260)),
+    ("Zlib", (244, 245, 246, 247, 248, 249, 250, 251)), ("Zlib", (244, 245, 246, 250)), ("Zlib", (246, 250)), ("BSL-1.0", (252, 253, 254, 3)), ("BSL-1.0", (253, 254)), ("BSL-1.0", (255,)), ("Unlicense", (115, 256, 257, 3)),
+    ("MIT-0", (243, 3, 4)), ("MIT-0", (243,)), ("0BSD", (242, 240, 241)), ("0BSD", (242,)), ("ISC", (113, 240, 241)), ("WTFPL", (258, 259)), ("WTFPL", (258,)), ("Apache-2.0", (227, 228, 262, 263)), ("Apache-2.0", (262, 263)),
+    ("GPL-3.0", (220, 223, 264, 266)), ("GPL-3.0", (264, 266)), ("GPL-2.0", (220, 224, 265, 266)),
+    ("Zlib", (268,)), ("BSL-1.0", (269,)), ("0BSD", (270,)), ("MIT-0", (271,)), ("WTFPL", (272,)), ("BSD-4-Clause", (273,)),
 ]
 
 #: Every known sentence holds one of these; texts without any need no cutting.
@@ -140,6 +172,11 @@ HOLDERS = [
         rf"neither{_W}the{_W}names?{_W}of{_W}(?!the{_W}copyright{_W}holder{_W}nor){_HOLDER}{_W}nor{_W}the{_W}names{_W}of{_W}(?:its|their|any|other|the){_W}contributors{_W}" + _USE.replace(" ", _W),
         f"neither the name of the copyright holder nor the names of its contributors {_USE}",
     ),
+    (rf"display{_W}the{_W}following{_W}acknowledge?ment:", "display the following acknowledgement. "),
+    (rf"in{_W}no{_W}event{_W}shall{_W}{_HOLDER}{_W}be{_W}liable{_W}for{_W}any{_W}claim,", "in no event shall the authors or copyright holders be liable for any claim,"),
+    (rf"in{_W}no{_W}event{_W}shall{_W}{_HOLDER}{_W}be{_W}liable{_W}for{_W}any{_W}direct,", "in no event shall the copyright owner or contributors be liable for any direct,"),
+    (rf"in{_W}no{_W}event{_W}shall{_W}{_HOLDER}{_W}be{_W}liable{_W}for{_W}any{_W}special,", "in no event shall the author be liable for any special,"),
+    (rf"(\"|``|'')as{_W}is(\"|''){_W}and{_W}{_HOLDER}{_W}disclaims?{_W}all{_W}warranties", '"as is" and the author disclaims all warranties'),
     (rf"this{_W}software{_W}is{_W}provided{_W}by{_W}{_HOLDER}{_W}[^a-z0-9\s]*as{_W}is\b", 'this software is provided by the copyright holders and contributors "as is'),
 ]
 
@@ -153,6 +190,12 @@ def pattern(rule: tuple[int, ...]) -> str:
     return ("(?:<[0-9]+>){0,%d}?" % GAP).join(f"<{i}>" for i in rule)
 
 
+def every_rule() -> list[tuple[str, tuple[int, ...]]]:
+    """All rules, long further ones first: a rule takes the sentences that shorter ones would match."""
+    long = [r for r in MORE_RULES if len(r[1]) > 2 or r[1][0] in (243, 242, 246, 253, 262, 264)]
+    return sorted(long, key=lambda r: -len(r[1])) + RULES + [r for r in MORE_RULES if r not in long]
+
+
 def _views(text: Column) -> Column:
     """The two views' sentences, not yet normalised: struct of lines and flow."""
     cut = lambda c: F.split(F.regexp_replace(c, STOP, "$1\n"), "\n")
@@ -184,7 +227,7 @@ def licences(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> Dat
     found = found.join(F.broadcast(known), "sentence").select("k", "h", "view", "pos", "sid")
     # equal rows meet here: each place counts once
     views = found.groupBy("k", "h", "view").agg(F.sort_array(F.collect_set(F.struct("pos", "sid")))["sid"].alias("ids"))
-    rules = F.array(*[F.struct(F.lit(l).alias("l"), F.lit(pattern(r)).alias("p")) for l, r in [r for r in MORE_RULES if len(r[1]) > 3] + RULES + [r for r in MORE_RULES if len(r[1]) <= 3]])
+    rules = F.array(*[F.struct(F.lit(l).alias("l"), F.lit(pattern(r)).alias("p")) for l, r in every_rule()])
     matched = F.aggregate(
         rules,
         F.struct(F.concat(F.lit("<"), F.array_join(F.col("ids").cast("array<string>"), "><"), F.lit(">")).alias("rest"), F.array().cast("array<string>").alias("got")),
