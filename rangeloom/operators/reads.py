@@ -1,4 +1,5 @@
-"""Reads over an ordered keyed table. Every method gives a lazy DataFrame, but for those that give one value."""
+"""Reads over an ordered keyed table. Methods give lazy DataFrames, but for those that give one value; reads by a batch
+of keys count the batch when they are called."""
 
 from __future__ import annotations
 
@@ -54,6 +55,10 @@ class ReadView:
     def _descending(self) -> list[Column]:
         return [F.col(c).desc() for c in self.key]
 
+    def _met_by(self, probes: DataFrame) -> DataFrame:
+        """Rows that the keys of ``probes`` can meet, maybe more."""
+        return narrowed(self.rows, probes, self.key)
+
     # lookups
     def get(self, key: Any) -> DataFrame:
         """The row with ``key``: one or none."""
@@ -73,16 +78,16 @@ class ReadView:
 
     def multi_get(self, probes: DataFrame) -> DataFrame:
         """Each probe with the row of its key and ``found``; absent keys have nulls."""
-        here = narrowed(self.rows, probes, self.key).withColumn("found", F.lit(True))
+        here = self._met_by(probes).withColumn("found", F.lit(True))
         return probes.join(here, self.key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
     def present(self, probes: DataFrame) -> DataFrame:
         """The probes whose key is in the table."""
-        return probes.join(narrowed(self.keys_unordered(), probes, self.key), self.key, "left_semi")
+        return probes.join(self._met_by(probes).select(*self.key), self.key, "left_semi")
 
     def absent(self, probes: DataFrame) -> DataFrame:
         """The probes whose key isn't in the table."""
-        return probes.join(narrowed(self.keys_unordered(), probes, self.key), self.key, "left_anti")
+        return probes.join(self._met_by(probes).select(*self.key), self.key, "left_anti")
 
     def keys_unordered(self) -> DataFrame:
         return self._source(KeyRange()).select(*self.key)

@@ -5,15 +5,18 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ClosedError, ConflictError, DuplicateKeyError, FinishedError, KeyedTableError, MaintenanceError, NullKeyError, SchemaError
 from ..functions.changes import add_given, increment
 from ..operators import checks, ordering, writes
 from ..operators.reads import ReadView
 from ..sources.scratch import shared_folder
-from ..table import KeyedTable
+from ..table import KeyedTable, Options
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +46,10 @@ def orders(spark: SparkSession, sf_dir: str) -> ReadView:
     return view(spark, sf_dir, "orders", "o_orderkey")
 
 
+def _value(spark: SparkSession, n: int) -> DataFrame:
+    return spark.createDataFrame([(n,)], "n long")
+
+
 # --- lookups ---
 @query("SELECT * FROM orders WHERE o_orderkey = 100")
 def point_get(spark, sf_dir):
@@ -228,17 +235,17 @@ def successor_batch(spark, sf_dir):
 
 @query("SELECT count(*) AS n FROM lineitem")
 def count(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"))
+    return _value(spark, view(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"]).count())
 
 
 @query("SELECT count(*) AS n FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
 def count_range(spark, sf_dir):
-    return orders(spark, sf_dir).scan_unordered(100, 900).agg(F.count("*").alias("n"))
+    return _value(spark, _stored(spark, sf_dir).count_range(100, 900))
 
 
 @query("SELECT count(*) AS n FROM orders WHERE o_orderkey BETWEEN 500 AND 10")
 def count_range_inverted(spark, sf_dir):
-    return orders(spark, sf_dir).scan_unordered(500, 10).agg(F.count("*").alias("n"))
+    return _value(spark, _stored(spark, sf_dir).count_range(500, 10))
 
 
 # --- writes, as pure functions ---
@@ -261,8 +268,8 @@ def _batch(spark, sf_dir):
 
 @query(f"SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_BATCH_SQL}) UNION ALL SELECT * FROM {_BATCH_SQL}")
 def put_range(spark, sf_dir):
-    base, batch = _base(spark, sf_dir), _batch(spark, sf_dir)
-    return base.join(batch.select(*_KEY), _KEY, "left_anti").unionByName(batch)
+    base = _base(spark, sf_dir)
+    return writes.apply(base, writes.put(base, _batch(spark, sf_dir), _KEY), _KEY)
 
 
 @query(f"SELECT b.o_orderkey, o.o_orderkey IS NOT NULL AS existed, CASE WHEN o.o_orderkey IS NULL THEN 'inserted' ELSE 'updated' END AS status FROM {_BATCH_SQL} b LEFT JOIN orders o USING (o_orderkey)")
@@ -280,7 +287,7 @@ def last_wins(spark, sf_dir):
 @query(f"SELECT * FROM orders UNION ALL SELECT * FROM {_BATCH_SQL} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 def try_insert(spark, sf_dir):
     base = _base(spark, sf_dir)
-    return base.unionByName(_batch(spark, sf_dir).join(base.select(*_KEY), _KEY, "left_anti"))
+    return writes.apply(base, writes.try_insert(base, _batch(spark, sf_dir), _KEY), _KEY)
 
 
 @query(f"SELECT b.o_orderkey, o.o_orderkey IS NULL AS inserted FROM {_BATCH_SQL} b LEFT JOIN orders o USING (o_orderkey)")
@@ -326,7 +333,8 @@ def get_or_add(spark, sf_dir):
 
 @query("SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey * 13 FROM customer)")
 def delete_keys(spark, sf_dir):
-    return _base(spark, sf_dir).join(_probes(spark, sf_dir), _KEY, "left_anti")
+    base = _base(spark, sf_dir)
+    return writes.apply(base, writes.delete(base, _probes(spark, sf_dir), _KEY), _KEY)
 
 
 @query("SELECT * FROM orders WHERE o_orderkey IN (SELECT c_custkey * 13 FROM customer)")
@@ -344,8 +352,9 @@ def compare_and_swap(spark, sf_dir):
 
 @query("SELECT * FROM orders WHERE NOT o_orderkey BETWEEN 100 AND 900")
 def delete_range(spark, sf_dir):
-    rows = orders(spark, sf_dir)
-    return rows.rows.where(~rows._range(100, 900).condition(rows.key))
+    made = _stored(spark, sf_dir)
+    made.delete_range(100, 900)
+    return made.rows
 
 
 @query(f"SELECT coalesce(o.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'insert' WHEN b.o_orderkey IS NULL THEN 'delete' ELSE 'update' END AS change, o.o_totalprice AS before_price, b.o_totalprice AS after_price FROM orders o FULL JOIN {_BATCH_SQL} b USING (o_orderkey)")
@@ -381,12 +390,199 @@ def stats_by_range(spark, sf_dir):
 
 
 # --- through versioned tables ---
-def _stored(spark, sf_dir) -> KeyedTable:
-    made = KeyedTable.create(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", _base(spark, sf_dir).schema, _KEY)
-    made.load(_base(spark, sf_dir))
+def _stored(spark, sf_dir, **options) -> KeyedTable:
+    made = KeyedTable.create(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", _base(spark, sf_dir).schema, _KEY, Options(**options))
+    made.load(_base(spark, sf_dir), unique=True)
     return made
 
 
+def _again(spark, made: KeyedTable, **options) -> KeyedTable:
+    """Another handle of the same table, as another process would have it."""
+    return KeyedTable.open(spark, made._store.files.root, Options(**options))
+
+
+def _raised(kind: type[Exception], call: Callable[[], Any]) -> bool:
+    try:
+        call()
+    except kind:
+        return True
+    return False
+
+
+_MERGED_SQL = f"SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_BATCH_SQL}) UNION ALL SELECT * FROM {_BATCH_SQL}"
+
+
+@query("SELECT * FROM orders WHERE o_orderkey = 100")
+def indexer(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    return spark.createDataFrame([made[100]], made.schema)
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey")
+def iterate(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    return spark.createDataFrame(((r["o_orderkey"],) for r in made), "o_orderkey long")
+
+
+@query("SELECT p.k AS o_orderkey, o.* EXCLUDE (o_orderkey), o.o_orderkey IS NOT NULL AS found FROM (SELECT c_custkey * 7 AS k FROM customer) p LEFT JOIN orders o ON o.o_orderkey = p.k")
+def table_multi_get(spark, sf_dir):
+    return _stored(spark, sf_dir).multi_get(table(spark, sf_dir, "customer").select((F.col("c_custkey") * 7).alias("o_orderkey")))
+
+
+@query("SELECT * FROM orders WHERE o_orderkey > 500 AND o_orderkey NOT BETWEEN 505 AND 510 ORDER BY o_orderkey LIMIT 20")
+def table_page(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    made.delete_range(505, 510)
+    return made.page(20, after=500)
+
+
+@query("SELECT (SELECT min(o_orderkey) FROM orders WHERE o_orderkey > 123) AS next_key, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey < 123) AS prev_key, (SELECT min(o_orderkey) FROM orders) AS first_key, (SELECT max(o_orderkey) FROM orders) AS last_key, (SELECT count(*) FROM orders) AS n")
+def table_neighbours(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    ends = [x.first()["o_orderkey"] for x in (made.next_after(123), made.prev_before(123), made.first(), made.last())]
+    return spark.createDataFrame([(*ends, len(made))], "next_key long, prev_key long, first_key long, last_key long, n long")
+
+
+@query(_MERGED_SQL)
+def commit_async(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    tx = made.transaction()
+    tx.insert_range(_batch(spark, sf_dir))
+    tx.commit_async().result()
+    return made.rows
+
+
+@query("SELECT count(*) AS n, true AS conflicted FROM orders WHERE o_orderkey NOT BETWEEN 0 AND 10")
+def conflict_aborts(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    one, two = made.transaction(), made.transaction()
+    one.delete_range(0, 10)
+    two.delete_range(20, 30)
+    one.commit()
+    conflicted = _raised(ConflictError, two.commit)
+    return made.rows.agg(F.count("*").alias("n")).withColumn("conflicted", F.lit(conflicted))
+
+
+@query("SELECT true AS touched, false AS elsewhere, (SELECT count(*) FROM orders WHERE o_orderkey BETWEEN 0 AND 100) AS seen")
+def serializable_reads(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    one, two = made.transaction(serializable=True), made.transaction(serializable=True)
+    seen = one.count_range(0, 100)
+    two.count_range(3000, 3100)
+    made.delete_range(50, 60)
+    seen = min(seen, one.count_range(0, 100))  # still what it was at the start
+    return spark.createDataFrame([(_raised(ConflictError, one.commit), _raised(ConflictError, two.commit), seen)], "touched boolean, elsewhere boolean, seen long")
+
+
+@query("SELECT * REPLACE (CASE WHEN o_orderkey = 7 THEN o_totalprice + 4 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey <= 20")
+def concurrent_writers(spark, sf_dir):
+    made = _stored(spark, sf_dir, retries=50)
+
+    def work(_: int) -> None:
+        mine = _again(spark, made, retries=50)
+        for _ in range(2):
+            mine.update_with([7], increment("o_totalprice", 1))
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(work, range(2)))
+    return made.scan(end=20)
+
+
+@query("SELECT count(*) AS n, true AS valid FROM orders")
+def recovery(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    made.transaction().delete_range(0, 900)  # staged and never committed: as if the process had ended here
+    again = _again(spark, made)
+    return again.rows.agg(F.count("*").alias("n")).withColumn("valid", F.lit(again.validate().is_valid))
+
+
+@query(_MERGED_SQL)
+def checkpoint_fold(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    made.put_range(_batch(spark, sf_dir))
+    made.checkpoint()
+    return _again(spark, made).rows
+
+
+@query("SELECT count(*) AS n, true AS folded FROM orders WHERE o_orderkey NOT BETWEEN 0 AND 20")
+def auto_checkpoint(spark, sf_dir):
+    made = _stored(spark, sf_dir, fold_after=2)
+    made.delete_range(0, 10)
+    made.delete_range(11, 20)
+    return made.rows.agg(F.count("*").alias("n")).withColumn("folded", F.lit(made.statistics().delta_files == 0))
+
+
+@query(f"SELECT * FROM ({_MERGED_SQL}) WHERE o_orderkey NOT BETWEEN 200 AND 400")
+def compact_beside_a_writer(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    made.put_range(_batch(spark, sf_dir))
+    _again(spark, made, on_compaction_started=lambda: made.delete_range(200, 400)).compact()
+    return made.rows
+
+
+@query("SELECT count(*) AS n, CAST(11 AS BIGINT) AS deleted, true AS read_back FROM orders WHERE o_orderkey NOT BETWEEN 100 AND 110")
+def vacuum_beside_a_writer(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    with made.transaction() as tx:
+        deleted = tx.delete_range(100, 110)
+        _again(spark, made).vacuum()
+        tx.commit()
+    return made.rows.agg(F.count("*").alias("n")).select("n", F.lit(deleted).cast("long").alias("deleted"), (F.col("n") == len(made)).alias("read_back"))
+
+
+@query("SELECT count(*) AS n_rows, CAST(11 AS BIGINT) AS delta_rows, CAST(2 AS BIGINT) AS version, CAST(1 AS BIGINT) AS snapshots FROM orders WHERE o_orderkey NOT BETWEEN 100 AND 110")
+def statistics(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    made.delete_range(100, 110)
+    with made.snapshot():
+        s = made.statistics()
+    return spark.createDataFrame([(s.rows, s.delta_rows, s.version, s.open_snapshots)], "n_rows long, delta_rows long, version long, snapshots long")
+
+
+@query("SELECT true AS valid, CAST(0 AS BIGINT) AS errors")
+def validate_table(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    made.put_range(_batch(spark, sf_dir))
+    found = made.validate()
+    return spark.createDataFrame([(found.is_valid, len(found.errors))], "valid boolean, errors long")
+
+
+@query("SELECT 'started,completed' AS calls, true AS saved, true AS second_rejected")
+def callbacks(spark, sf_dir):
+    calls: list[str] = []
+    inner: list[bool] = []
+    made = _stored(spark, sf_dir)
+    made.delete_range(0, 100)
+
+    def started() -> None:
+        calls.append("started")
+        inner.append(_raised(MaintenanceError, again.compact))
+
+    again = _again(spark, made, on_compaction_started=started, on_compaction_completed=lambda _: calls.append("completed"))
+    result = again.compact()
+    return spark.createDataFrame([(",".join(calls), result.files_removed > 0, inner[0])], "calls string, saved boolean, second_rejected boolean")
+
+
+@query("SELECT * FROM (VALUES ('closed', true), ('finished', true), ('null key', true), ('no table', true), ('no column', true), ('options', true), ('repeated key', true), ('absent key', true)) t(error, raised)")
+def exceptions(spark, sf_dir):
+    made = _stored(spark, sf_dir)
+    made.flush()
+    tx = made.transaction()
+    tx.rollback()
+    rows = _batch(spark, sf_dir).limit(1)
+    found = [
+        ("finished", _raised(FinishedError, lambda: tx.delete_range(0, 1))),
+        ("null key", _raised(NullKeyError, lambda: made.put_range(rows.withColumn("o_orderkey", F.lit(None).cast("long"))))),
+        ("no table", _raised(KeyedTableError, lambda: KeyedTable.open(spark, f"{shared_folder(spark)}/none-{uuid.uuid4().hex}"))),
+        ("no column", _raised(SchemaError, lambda: made.put_range(rows.drop("o_custkey")))),
+        ("options", _raised(ValueError, lambda: Options(retries=-1).validate())),
+        ("repeated key", _raised(DuplicateKeyError, lambda: made.add_or_update(rows.unionByName(rows), lambda old, new: new))),
+        ("absent key", _raised(KeyError, lambda: made[-1])),
+    ]
+    made.close()
+    return spark.createDataFrame([("closed", _raised(ClosedError, made.flush)), *found], "error string, raised boolean")
+
+
 @query(f"SELECT * FROM (SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_BATCH_SQL}) UNION ALL SELECT * FROM {_BATCH_SQL}) WHERE o_orderkey NOT BETWEEN 200 AND 400")
 def txn_read_own_writes(spark, sf_dir):
     tx = _stored(spark, sf_dir).transaction()

@@ -6,6 +6,7 @@ the base files that can hold its keys. Folding and compaction turn deltas into b
 
 from __future__ import annotations
 
+import bisect
 import logging
 import threading
 import time
@@ -30,6 +31,8 @@ from .sources.manifest import DataFile, Manifest, Version
 log = logging.getLogger("rangeloom")
 #: Keys of deltas with up to so many rows and bytes, as the manifest has them, are broadcast when laid over the base.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+#: So few keys of a batch are read and looked up among the files' spans.
+FEW_KEYS = 1000
 Values = Mapping[str, Column]
 
 
@@ -37,21 +40,27 @@ Values = Mapping[str, Column]
 class Options:
     """``retries``: of single writes that meet another commit. ``fold_after``: deltas after which a commit folds them (0:
     never). ``file_rows``: rows of a file at most. ``ranges``: key ranges that a load, fold or compaction deals rows into
-    (0: the session's shuffle partitions). ``max_key_bytes``: of string and binary keys (0: no limit)."""
+    (0: the session's shuffle partitions). ``max_key_bytes``: of string and binary keys (0: no limit). ``fold_bytes``: base
+    files up to this size are folded by the write that finds enough deltas, larger ones behind it. ``lease_seconds``: how
+    long a snapshot, transaction or unfinished write keeps its files from being vacuumed; longer than any of them lasts.
+    ``retain_seconds``: age under which a compaction keeps all files, for reads that go on without a snapshot."""
 
     retries: int = 10
     fold_after: int = 16
     file_rows: int = 5_000_000
     ranges: int = 0
     max_key_bytes: int = 0
+    fold_bytes: int = 256 << 20
+    lease_seconds: float = 7 * 86_400
+    retain_seconds: float = 0
     default_is_unbounded: bool = False
     on_warning: Callable[[str], None] | None = None
     on_compaction_started: Callable[[], None] | None = None
     on_compaction_completed: Callable[[CompactionResult], None] | None = None
 
     def validate(self) -> None:
-        if min(self.retries, self.fold_after, self.max_key_bytes, self.ranges) < 0:
-            raise ValueError("retries, fold_after, max_key_bytes and ranges can't be negative")
+        if min(self.retries, self.fold_after, self.max_key_bytes, self.ranges, self.fold_bytes, self.lease_seconds, self.retain_seconds) < 0:
+            raise ValueError("numbers of options can't be negative")
         if self.file_rows < 1:
             raise ValueError("file_rows must be 1 or more")
 
@@ -159,14 +168,40 @@ class Store:
         put = over.where(F.col("__d.op") == writes.PUT).select(*self.key, *[F.col(f"__d.{c}").alias(c) for c in self.values])
         return kept.unionByName(put.select(*self.schema.names))
 
-    def ends(self, version: Version, n: int, *, greatest: bool) -> DataFrame:
-        """Rows among which the ``n`` at one end are: base files from that end that outnumber them and all deltas."""
+    def ends(self, version: Version, n: int, *, greatest: bool, wanted: KeyRange = KeyRange()) -> DataFrame:
+        """Rows among which the ``n`` at one end of a range are: base files from that end that outnumber them and all deltas."""
         need, taken = n + version.delta_rows, []
         for f in reversed(version.base) if greatest else version.base:
-            if sum(x.rows for x in taken) >= need:
+            if f.meets(wanted):
+                taken.append(f)
+                need -= f.rows if wanted.covers(f.least, f.greatest) else 0
+            if need <= 0:
                 break
-            taken.append(f)
-        return self.rows(Version(version.number, version.rows, tuple(sorted(taken, key=lambda f: f.least)), version.deltas))
+        return self.rows(self._only(version, taken), wanted)
+
+    @staticmethod
+    def _only(version: Version, base: Sequence[DataFile], deltas: Sequence[tuple[DataFile, ...]] | None = None) -> Version:
+        return Version(version.number, version.rows, tuple(sorted(base, key=lambda f: f.least)), version.deltas if deltas is None else tuple(d for d in deltas if d))
+
+    def near(self, version: Version, keys: DataFrame) -> DataFrame:
+        """Rows that ``keys`` can meet: of a few keys, which are read here, files whose spans hold one of them."""
+        found = keys.limit(FEW_KEYS + 1).collect()
+        if len(found) > FEW_KEYS:
+            ends = keys.agg(F.min(F.struct(*self.key)).alias("lo"), F.max(F.struct(*self.key)).alias("hi")).first()
+            if ends["lo"] is None or any(x is None for x in ends["lo"]):
+                return self.rows(version)
+            return narrowed(self.rows(version, KeyRange(self._extreme(ends["lo"]), self._extreme(ends["hi"]))), keys, self.key)
+        if any(x is None for r in found for x in r):
+            return self.rows(version)
+        given = sorted({self._extreme(r) for r in found})
+
+        def held(f: DataFile) -> bool:
+            at = bisect.bisect_left(given, f.least)
+            return at < len(given) and given[at] <= f.greatest
+
+        kept = self._only(version, [f for f in version.base if held(f)], [tuple(f for f in d if held(f)) for d in version.deltas])
+        types = T.StructType([self.schema[c] for c in self.key])
+        return self.rows(kept).join(F.broadcast(self.spark.createDataFrame(given, types)), self.key, "left_semi")
 
     def count_range(self, version: Version, wanted: KeyRange) -> int:
         """Counts whole files by the manifest where no delta lies, and reads keys of the others only."""
@@ -214,6 +249,7 @@ class Store:
     def stage(self, outcome: DataFrame) -> Staged:
         """Write an outcome by key order, puts, deletes and rows without effect apart; check its keys."""
         folder = f"data/{uuid.uuid4().hex}"
+        self.manifest.begin(folder)
         ordered = outcome.repartitionByRange(*self.key).sortWithinPartitions(writes.OP, *self.key)
         ordered.write.option("maxRecordsPerFile", self.options.file_rows).partitionBy(writes.OP).parquet(f"{self.files.root}/{folder}")
         files, tally = [], {"inserted": 0, "updated": 0, "deleted": 0, "unchanged": 0}
@@ -239,11 +275,17 @@ class Store:
     def _extreme(key: Row) -> Key:
         return tuple(bytes(x) if isinstance(x, bytearray) else x for x in key)
 
-    def write_base(self, rows: DataFrame) -> list[DataFile]:
-        """Base files with disjoint key ranges, sorted inside."""
+    def write_base(self, rows: DataFrame, apart: Sequence[Key] = ()) -> list[DataFile]:
+        """Base files with disjoint key ranges, sorted inside; none holds keys from both sides of one of ``apart``."""
         folder = f"data/{uuid.uuid4().hex}"
-        dealt = rows.repartitionByRange(self.options.ranges, *self.key) if self.options.ranges else rows.repartitionByRange(*self.key)
-        dealt.sortWithinPartitions(*self.key).write.option("maxRecordsPerFile", self.options.file_rows).parquet(f"{self.files.root}/{folder}")
+        self.manifest.begin(folder)
+        part = F.lit(0)
+        for key in apart:
+            part = part + F.when(KeyRange(key).condition(self.key), 1).otherwise(0)
+        order = ["__part", *self.key] if apart else self.key
+        rows = rows.withColumn("__part", part) if apart else rows
+        dealt = rows.repartitionByRange(self.options.ranges, *order) if self.options.ranges else rows.repartitionByRange(*order)
+        dealt.sortWithinPartitions(*order).write.option("maxRecordsPerFile", self.options.file_rows).partitionBy(*(["__part"] if apart else [])).parquet(f"{self.files.root}/{folder}")
         return [DataFile(p, "base", r["n"], r["file_size"], self._extreme(r["lo"]), self._extreme(r["hi"])) for p, r in self.stats(folder, "base") if r["n"]]
 
 
@@ -254,11 +296,22 @@ class TableView(ReadView):
         super().__init__(lambda wanted: store.rows(version, wanted), store.key, default_is_unbounded=store.options.default_is_unbounded)
         self.store, self.version = store, version
 
+    def page(self, size: int, *, after: Any = None, before: Any = None, reverse: bool = False) -> DataFrame:
+        wanted = self._range(after, before, start_included=False, end_included=False)
+        order = self._descending() if reverse else self._ascending()
+        return self._end_of(size, reverse, wanted).where(wanted.condition(self.key)).orderBy(*order).limit(size)
+
     def top(self, n: int) -> DataFrame:
-        return self.store.ends(self.version, n, greatest=False).orderBy(*self._ascending()).limit(n)
+        return self.page(n)
 
     def latest(self, n: int) -> DataFrame:
-        return self.store.ends(self.version, n, greatest=True).orderBy(*self._descending()).limit(n)
+        return self.page(n, reverse=True)
+
+    def _end_of(self, n: int, greatest: bool, wanted: KeyRange) -> DataFrame:
+        return self.store.ends(self.version, n, greatest=greatest, wanted=wanted)
+
+    def _met_by(self, probes: DataFrame) -> DataFrame:
+        return self.store.near(self.version, probes.select(*self.key).distinct())
 
     def count(self) -> int:
         return self.version.rows
@@ -286,18 +339,16 @@ class Writer:
 
     def _met(self, version: Version, touching: DataFrame | KeyRange) -> DataFrame:
         """The version's rows that a write looks at (maybe more): few files, and few rows of them for a small batch."""
-        store = self._store
         if isinstance(touching, KeyRange):
-            return store.rows(version, touching)
-        keys = touching.select(*store.key)
-        whole = F.struct(*store.key)
-        ends = keys.agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).first()
-        if ends["lo"] is None or any(x is None for x in ends["lo"]):
-            return store.rows(version)
-        return narrowed(store.rows(version, KeyRange(store._extreme(ends["lo"]), store._extreme(ends["hi"]))), keys, store.key)
+            return self._store.rows(version, touching)
+        return self._store.near(version, touching.select(*self._store.key))
 
     def _once(self, batch: DataFrame, *, first: bool = False) -> DataFrame:
-        """One row for each key: the last in input order, or the first."""
+        """One row for each key: the last in input order, or the first.
+
+        That is the order of a sequence, or of a DataFrame's partitions; where it isn't one of rows, keys shouldn't repeat
+        (``writes.last_wins`` picks by a column).
+        """
         at = F.monotonically_increasing_id()
         order = F.col("__at") if not first else -F.col("__at")
         return writes.last_wins(batch.withColumn("__at", at), self._store.key, order).drop("__at")
@@ -376,6 +427,7 @@ class KeyedTable(Writer):
         self._snapshots: set[Snapshot] = set()
         self._pool = ThreadPoolExecutor(1, thread_name_prefix="rangeloom-commit")
         self._compacting = threading.Lock()
+        self._folding: Future | None = None
 
     # lifecycle
     @staticmethod
@@ -473,10 +525,10 @@ class KeyedTable(Writer):
                     raise
                 continue
             if store.options.fold_after and len(new.deltas) >= store.options.fold_after:
-                try:
-                    self.checkpoint()
-                except ConflictError:
-                    self._warn("another writer came before the deltas were folded; the next commit tries again")
+                if sum(f.size for f in self._under(new)) <= store.options.fold_bytes:
+                    self._fold()
+                elif not self._folding or self._folding.done():
+                    self._folding = self._pool.submit(self._fold)
             return WriteResult(new.number, done.outcome, done.inserted, done.updated, done.deleted, done.unchanged)
         raise AssertionError
 
@@ -515,31 +567,45 @@ class KeyedTable(Writer):
         return writes.version_diff(store.rows(store.manifest.at(before)), store.rows(store.manifest.at(after)), store.key)
 
     # maintenance
+    @staticmethod
+    def _under(version: Version) -> list[DataFile]:
+        """Base files that hold keys between the least and greatest of some delta file."""
+        return [f for f in version.base if any(f.meets(KeyRange(d.least, d.greatest)) for delta in version.deltas for d in delta)]
+
+    def _fold(self) -> None:
+        try:
+            self.checkpoint()
+        except ConflictError:
+            self._warn("the deltas were folded by another writer at the same time")
+
     def checkpoint(self) -> int:
-        """Fold the deltas into the base files whose keys they meet; other base files stay. The version afterwards."""
+        """Fold the deltas into the base files whose keys they meet; other base files stay, and so do deltas that are
+        committed meanwhile. The version afterwards."""
         store = self._open()
         version = store.manifest.latest()
         changed = [f for d in version.deltas for f in d]
         if not changed:
             return version.number
-        hull = KeyRange(min(f.least for f in changed), max(f.greatest for f in changed))
-        met = tuple(f for f in version.base if f.meets(hull))
-        rows = store.rows(Version(version.number, 0, met, version.deltas))
-        base = store.write_base(rows)
-        return store.manifest.commit(version, what="fold", rows=version.rows, base=base, remove=[f.path for f in (*met, *changed)]).number
+        met = self._under(version)
+        folded = {f.path for f in met}
+        # new files don't reach over ones that stay
+        stay = [f.path not in folded for f in version.base]
+        apart = [f.least for f, here, before in zip(version.base, stay, [False, *stay], strict=False) if here and not before]
+        base = store.write_base(store.rows(store._only(version, met)), apart)
+        return store.manifest.commit(version, what="fold", rows=version.rows, base=base, remove=[f.path for f in (*met, *changed)], rebase=True).number
 
     def compact(self) -> CompactionResult:
-        """Rewrite all rows as base files in key order, then drop files that no kept version needs."""
+        """Rewrite all rows as base files in key order, then drop files that nothing needs. Writes may go on meanwhile."""
         store = self._open()
         if not self._compacting.acquire(blocking=False):
             raise MaintenanceError("a compaction is running")
         try:
+            began, version = time.time(), store.manifest.latest()
             if store.options.on_compaction_started:
                 store.options.on_compaction_started()
-            began, version = time.time(), store.manifest.latest()
             base = store.write_base(store.rows(version))
-            new = store.manifest.commit(version, what="compact", rows=sum(f.rows for f in base), base=base, remove=[f.path for f in version.files])
-            removed, saved = self.vacuum()
+            new = store.manifest.commit(version, what="compact", rows=sum(f.rows for f in base), base=base, remove=[f.path for f in version.files], rebase=True)
+            removed, saved = self.vacuum(older_than_seconds=store.options.retain_seconds)
             result = CompactionResult(saved, removed, time.time() - began, new.number)
             if store.options.on_compaction_completed:
                 store.options.on_compaction_completed(result)
@@ -548,14 +614,15 @@ class KeyedTable(Writer):
             self._compacting.release()
 
     def vacuum(self, *, keep_versions: int = 1, older_than_seconds: float = 0) -> tuple[int, int]:
-        """Delete data files that neither the last versions nor leased ones name: (files, bytes). With other writers at
-        work, ``older_than_seconds`` must exceed the time that a write takes."""
+        """Delete data files that neither the last versions nor leased ones nor unfinished writes need: (files, bytes)."""
         store = self._open()
+        # in this order: what is committed in between was marked before, and is named in the log by now
+        there = store.files.walk("data")
+        staged = store.manifest.staged(store.options.lease_seconds)
         numbers = store.manifest.numbers()[-keep_versions:]
-        needed = {f.path for n in {*numbers, *store.manifest.leased()} for f in store.manifest.at(n).files}
-        needed |= {f.path for t in list(self._transactions) for f in t._staged_files()}
+        needed = {f.path for n in {*numbers, *store.manifest.leased(store.options.lease_seconds)} for f in store.manifest.at(n).files}
         limit = (time.time() - older_than_seconds) * 1000
-        gone = [(p, n) for p, n, at in store.files.walk("data") if p not in needed and p.endswith(".parquet") and at <= limit]
+        gone = [(p, n) for p, n, at in there if p not in needed and p.endswith(".parquet") and at <= limit and "/".join(p.split("/")[:2]) not in staged]
         for p, _ in gone:
             store.files.delete(p)
         return len(gone), sum(n for _, n in gone)
@@ -620,6 +687,11 @@ class Snapshot(TableView):
             raise ClosedError("the snapshot is closed")
         return super()._within(wanted)
 
+    def _end_of(self, n: int, greatest: bool, wanted: KeyRange) -> DataFrame:
+        if not self._lease:
+            raise ClosedError("the snapshot is closed")
+        return super()._end_of(n, greatest, wanted)
+
 
 class Transaction(Writer):
     """Several operations that commit together, or not at all.
@@ -656,7 +728,7 @@ class Transaction(Writer):
 
         seen._source = source
         whole = KeyRange()
-        for name in ("top", "latest", "count"):
+        for name in ("page", "count", "_met_by"):
             inner = getattr(seen, name)
             setattr(seen, name, lambda *a, f=inner, **b: (self._read.append(whole), f(*a, **b))[1])
         inner_count = seen.count_range
@@ -708,6 +780,7 @@ class Transaction(Writer):
         if not self._finished:
             for folder in {"/".join(f.path.split("/")[:2]) for f in self._staged_files()}:
                 self._store.files.delete(folder)
+            self._store.manifest.settle(self._staged_files())
             self._end()
 
     def _end(self) -> None:
