@@ -5,9 +5,9 @@ centroids that all lists share cut a list into cells: as many as the data need f
 cell, a vector is stored with codes of its residual (a byte for each subspace) and the length of what the codes leave
 out. A query probes every cell that can hold a vector within the linking distance: by the bisectors between the nearest
 and the other centroids, of lists and then of cells, no neighbour lies in what is left out, so the probes are
-sufficient. In a cell, distances to the codes are summed from look-up tables; a vector stays a candidate unless that
-distance less its coding error is beyond the linking distance, and candidates are compared by exact cosine. So no link
-is lost to the index.
+sufficient; as that holds from either side, a query leaves out cells with smaller numbers than its own. In a cell,
+distances to the codes are summed from look-up tables; a vector stays a candidate unless that distance less its coding
+error is beyond the linking distance, and candidates are compared by exact cosine. So no link is lost to the index.
 
 Cells and queries are cut into blocks of bounded size, and a pair of blocks gives counts and a labelling of what is
 linked, never the pairs.
@@ -30,7 +30,7 @@ from .components import connected_components
 #: The index is fitted on about so many distinct vectors of a length. It has a list for each LIST of the largest label, at
 #: most MAX_LISTS (and one for each eight fitted vectors); beyond that lists are cut into cells of about CELL, at most
 #: MAX_CELLS a list. More lists and cells don't lose links.
-FIT_ROWS, LIST, MAX_LISTS, CELL, MAX_CELLS = 20_000, 128, 2048, 128, 1024
+FIT_ROWS, LIST, MAX_LISTS, CELL, MAX_CELLS = 20_000, 32, 2048, 128, 1024
 SUBSPACES, CODES, ROUNDS = 8, 256, 6
 #: Vectors in a block of a list or of its queries, and queries compared at a time.
 BLOCK, AT_ONCE = 2048, 256
@@ -147,7 +147,7 @@ def _search(indexes: dict[int, Index], kind: str, cosine: float, reach: float):
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         index, cell = indexes[int(key[1])], int(key[2])
         ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
-        ask = pdf["ask"].to_numpy()
+        ask, home = pdf["ask"].to_numpy(), pdf["home"].to_numpy()
         asks, held = np.flatnonzero(ask), np.flatnonzero(~ask)
         links = np.zeros(len(ids), dtype=np.int64)
         label = ids
@@ -171,6 +171,9 @@ def _search(indexes: dict[int, Index], kind: str, cosine: float, reach: float):
                     good[some] = np.einsum("ij,ij->i", x[i[some]], x[j[some]]) >= cosine
                 i, j = i[good], j[good]
                 links += np.bincount(i, weights=copies[j], minlength=len(ids)).astype(np.int64)
+                # queries of other cells aren't asked from here
+                away = ~home[i]
+                links += np.bincount(j[away], weights=copies[i[away]], minlength=len(ids)).astype(np.int64)
                 # keep what these links join, not the links: each position and the one whose id it reaches
                 used = np.unique(np.concatenate((i, j)))
                 reached = _linked(ids, i, j)[used]
@@ -242,7 +245,7 @@ def _found(classes: DataFrame, kind: str, cosine: float) -> DataFrame:
                 lists, codes, errors = index.place(x)
                 yield pd.DataFrame({
                     "id": part["id"], "label": part["label"], "copies": part["copies"], "dim": int(dim), "raw": raw, "list": lists.astype("int32"),
-                    "codes": [c.tobytes() for c in codes], "error": errors, "probes": [p.astype("int32") for p in index.probes(x, lists, reach)],
+                    "codes": [c.tobytes() for c in codes], "error": errors, "probes": [p[p >= c].astype("int32") for p, c in zip(index.probes(x, lists, reach), lists, strict=True)],
                 })
 
     placed = classes.mapInPandas(place, "id long, label string, copies long, dim int, raw binary, list int, codes binary, error double, probes array<int>")
@@ -253,9 +256,9 @@ def _found(classes: DataFrame, kind: str, cosine: float) -> DataFrame:
     cells = materialise(entries.join(asked, cell), "cells")
     block = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stored = placed.join(cells, cell).select(*cell, block("eb").alias("e"), each("qb").alias("q"), F.lit(False).alias("ask"), "id", "copies", "codes", "error", "raw")
-    asking = placed.select("label", "dim", F.explode("probes").alias("list"), "id", "raw").join(cells, cell)
-    asking = asking.select(*cell, each("eb").alias("e"), block("qb").alias("q"), F.lit(True).alias("ask"), "id", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "raw")
+    stored = placed.join(cells, cell).select(*cell, block("eb").alias("e"), each("qb").alias("q"), F.lit(False).alias("ask"), F.lit(True).alias("home"), "id", "copies", "codes", "error", "raw")
+    asking = placed.select("label", "dim", F.col("list").alias("own"), F.explode("probes").alias("list"), "id", "copies", "raw").join(cells, cell)
+    asking = asking.select(*cell, each("eb").alias("e"), block("qb").alias("q"), F.lit(True).alias("ask"), (F.col("own") == F.col("list")).alias("home"), "id", "copies", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "raw")
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _search(shared.value, kind, cosine, reach)(key, pdf)
