@@ -514,7 +514,8 @@ class KeyedTable(Writer):
             version = store.manifest.latest()
             if batch and version.batches.get(batch[0], -1) >= batch[1]:
                 return WriteResult(version.number, store.spark.createDataFrame([], store.schema), 0, 0, 0, 0)
-            staged = store.stage(build(self._met(version, touching)))
+            with store.manifest.held(version.number):
+                staged = store.stage(build(self._met(version, touching)))
             done = WriteResult(version.number, staged.outcome, staged.inserted, staged.updated, staged.deleted, staged.unchanged)
             if not staged.files and not batch:
                 return done
@@ -591,7 +592,8 @@ class KeyedTable(Writer):
         # new files don't reach over ones that stay
         stay = [f.path not in folded for f in version.base]
         apart = [f.least for f, here, before in zip(version.base, stay, [False, *stay], strict=False) if here and not before]
-        base = store.write_base(store.rows(store._only(version, met)), apart)
+        with store.manifest.held(version.number):
+            base = store.write_base(store.rows(store._only(version, met)), apart)
         return store.manifest.commit(version, what="fold", rows=version.rows, base=base, remove=[f.path for f in (*met, *changed)], rebase=True).number
 
     def compact(self) -> CompactionResult:
@@ -601,9 +603,10 @@ class KeyedTable(Writer):
             raise MaintenanceError("a compaction is running")
         try:
             began, version = time.time(), store.manifest.latest()
-            if store.options.on_compaction_started:
-                store.options.on_compaction_started()
-            base = store.write_base(store.rows(version))
+            with store.manifest.held(version.number):
+                if store.options.on_compaction_started:
+                    store.options.on_compaction_started()
+                base = store.write_base(store.rows(version))
             new = store.manifest.commit(version, what="compact", rows=sum(f.rows for f in base), base=base, remove=[f.path for f in version.files], rebase=True)
             removed, saved = self.vacuum(older_than_seconds=store.options.retain_seconds)
             result = CompactionResult(saved, removed, time.time() - began, new.number)
