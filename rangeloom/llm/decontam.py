@@ -113,7 +113,8 @@ def matches(
 
         # all postings of these cells, from the index again
         blocks = pairs.select("k", "h", "iid", "seg", "cell", F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("block"))
-        blocks = F.broadcast(blocks) if fits(pairs.unionByName(pairs), "k") else blocks
+        # the same plan at every size: cells grow with the texts, so they meet the index by a shuffle
+        blocks = blocks.hint("merge")
         held_by = index.withColumn("block", block).alias("x").join(blocks.alias("y"), F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.block") == F.col("y.block")))
         held_by = held_by.select("x.k", "x.h", "y.iid", "y.seg", "y.cell", "x.tid", "x.pos")
         places = windows.select("iid", "seg", F.explode(F.sequence(F.col("s"), F.col("s") + window - 1)).alias("q")).distinct().join(placed.select("iid", "q", "tid"), ["iid", "q"])
