@@ -76,6 +76,8 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     want = near(rows, 85)
     assert sum(not v[2] for v in want.values()) > 60
     monkeypatch.setattr(minhash, "BLOCK_SETS", 40)  # the larger family takes several blocks
+    monkeypatch.setattr(minhash, "STAR_SETS", 16)
+    monkeypatch.setattr(minhash, "PAIR_SETS", 20)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, percent=85).collect()}
     assert got == want
 
@@ -92,7 +94,8 @@ def test_templated_texts_chain_without_meeting_all(spark, monkeypatch):
     rng.shuffle(rows)
     want = near(rows, 80)
     assert 5 < len({v[1] for v in want.values()}) < 150
-    monkeypatch.setattr(minhash, "BLOCK_SETS", 12)
+    for name, value in (("BLOCK_SETS", 12), ("STAR_SETS", 5), ("PAIR_SETS", 7)):
+        monkeypatch.setattr(minhash, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
     assert got == want
 
